@@ -13,9 +13,12 @@ TEMPLATE = re.compile(
 )
 FILLER = re.compile(
     r"\blorem\b|\bipsum\b|\bdolor sit\b|\b(?:copy|text|headline|story|content|caption|words?) goes here\b|\bdummy (?:copy|text)\b|\bplaceholder (?:copy|text|story)\b|\bsample text\b"
-    r"|\bblindtext\b|\bmustertext\b|\btexto de relleno\b|\bfaux texte\b|\btexte factice\b|\basdf\b|\bqwerty?\b|\bx{2,}(?: x+){2,}\b|\b(\w+)(?: \1){3,}\b",
+    r"|\bblindtext\b|\bmustertext\b|\btexto de relleno\b|\bfaux texte\b|\btexte factice\b|\basdf\b|\bqwerty?\b|\bx{2,}(?: x+){2,}\b",
     re.IGNORECASE,
 )
+_REPEATED = re.compile(r"\b(\w+)(?: \1){3,}\b")
+# One of these is in every text that FILLER fits; looking for them first spares most texts the search.
+_FILLER_HINTS = ("lorem", "ipsum", "dolor sit", "goes here", "go here", "dummy ", "placeholder ", "sample text", "blindtext", "mustertext", "texto de relleno", "faux texte", "texte factice", "asdf", "qwer", "xx x")
 _HINT = re.compile(r"[{}\[\]<>%_@$]|NaN|XX|TK|TB[CD]|&lt;")
 
 
@@ -26,13 +29,21 @@ NOTICE = re.compile(
     r"|\b(?:java ?script|scripts?|cookies are|blocked|captcha|robot|human|log ?in|sign in|session|members?|subscribe|subscription|trial|free (?:\w+ )?stories|plans from|to read on|to go on reading)\b"
     r"|\b(?:erreur|introuvable|refusé|indisponible|abonnez|abonnés?|connectez|activer|fehler|nicht gefunden|verweigert|skripte|einschalten|abonnieren|abo|anmelden|denegado|no encontrad[ao]|active|suscríb\w+|suscriptores|inicie sesión|iniciar sesión)\b"
     r"|ত্রুটি|পাওয়া যায়নি|লগ ?ইন|সাবস্ক্রাইব|জাভাস্ক্রিপ্ট|গ্রাহক হোন|চালু করুন",
-    re.IGNORECASE,
 )
 
 
+def filler(text: str) -> bool:
+    """Whether a text is, or holds, filler: its usual words, or one word again and again."""
+    low = text.lower()
+    if any(h in low for h in _FILLER_HINTS) and FILLER.search(low):
+        return True
+    w = low.split()
+    return len(w) >= 4 and len(set(w)) * 2 <= len(w) and _REPEATED.search(low) is not None
+
+
 def notice(text: str) -> bool:
     """Whether a text has words of notices. Such words occur in stories too; a page's other lines must tell."""
-    return bool(NOTICE.search(text))
+    return NOTICE.search(text.lower()) is not None
 
 
 def residue(text: str) -> str | None:
