@@ -41,6 +41,8 @@ _DOTS = re.compile(r"(?:…|\.\.\.)\s*$")
 _END = re.compile(r"[.!?।][”\"»’)\]]*$")
 _BREAK = re.compile(r"(?<=[.!?।])[”\"»’)]*\s+(?=\S)")
 _TOKEN = re.compile(r"[^\s\"“”„«»()\[\]{}<>|]+")
+_CLOSERS = "”\"»’)] \t"
+_BRACKETS = "\"“”„«»()[]{}<>|"
 _STRIP = ".,;:!?…।'’‘-–—/&#*"
 
 
@@ -53,11 +55,16 @@ def _token(t: str) -> str:
     return "#" * (t[0] == "#") + ("N" if core[0].isupper() else core.lower()) + (t[-1] if t[-1] in ":," else "")
 
 
-def openings(fragment: str) -> list[int]:
-    """Keys of the first one to OPENING tokens of a line or sentence, capitalised words and figures masked but in a single token."""
-    toks = _TOKEN.findall(fragment)[:OPENING]
-    masked = [_token(t) for t in toks]
-    return [zlib.crc32((toks[0].lower() if n == 1 else " ".join(masked[:n])).encode()) for n in range(1, len(toks) + 1)]
+def head(fragment: str) -> str:
+    """The first OPENING tokens of a line or sentence, capitalised words and figures masked, after the first as it stands."""
+    toks = [x for t in fragment.split(None, OPENING)[:OPENING] if (x := t.strip(_BRACKETS))]
+    return " ".join([toks[0].lower(), *map(_token, toks)]) if toks else ""
+
+
+def openings(told: str) -> list[int]:
+    """Keys of the first one to OPENING tokens of a head; that of a single token is of the token as it stands."""
+    first, *masked = told.split(" ") if told else [""]
+    return [zlib.crc32((first if n == 1 else " ".join(masked[:n])).encode()) for n in range(1, len(masked) + 1)]
 
 
 def words_of(text: str) -> list[str]:
@@ -101,15 +108,13 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([(f.name, t) for f, t in zip(_PASS.fields, types)])
     for b in batches:
         rows: list[tuple] = []
-        vocabulary: Counter = Counter()
-        seen: Counter = Counter()
-        ended: Counter = Counter()
+        raw: Counter = Counter()
+        heads: tuple[Counter, Counter] = (Counter(), Counter())
         for doc, source, title, text in zip(*(c.to_pylist() for c in b.columns)):
             body = text.rstrip()
-            words = words_of(body)
-            vocabulary.update(words[:-1])
+            raw.update(body.split()[:-1])
             if title:
-                vocabulary.update(words_of(title))
+                raw.update(title.split())
             evidence, final, fragment = end_of(text, title)
             units = [s for line in body.split("\n") if line.strip() for s in _BREAK.split(line.strip())]
             if evidence in (PROPER, OPEN, POINT) or not units:
@@ -119,11 +124,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, s in enumerate(units):
                 if len(units) > 1 and k == len(units) - 1 and evidence == OPEN:
                     continue  # what is to be decided is no evidence; bare endings are counted by their own lines below
-                keys = openings(s)
-                seen.update(keys)
-                if _END.search(s):
-                    ended.update(keys)
-            keys = openings(fragment)
+                heads[s.rstrip(_CLOSERS)[-1:] in ".!?।"][head(s)] += 1
+            keys = openings(head(fragment))
             chars = len(text)
             inline = bool(fragment) and not body.split("\n")[-1].strip().startswith(fragment)
             stub = len(body) < STUB
@@ -134,6 +136,17 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             toks = [_token(t) for t in _TOKEN.findall(fragment)]
             second = len(toks) > 1 and toks[1][:1] not in ("N", "0")
             rows.append((ENDING, doc, source, chars, len(toks), inline, second, PROPER if stub else evidence, final.strip(_STRIP) or None, zlib.crc32(" ".join(toks).encode()), len(keys), keys, None, None, None, None, None))
+        vocabulary: Counter = Counter()
+        for w, n in raw.items():
+            for x in words_of(w):
+                vocabulary[x] += n
+        seen: Counter = Counter()
+        ended: Counter = Counter()
+        for end, counter in enumerate(heads):
+            for told, n in counter.items():
+                for key in openings(told):
+                    seen[key] += n
+                    ended[key] += n * end
         keys = list(seen)
         rows.append((STATISTICS, None, None, None, None, None, None, None, None, None, None, None, list(vocabulary), list(vocabulary.values()), keys, [seen[k] for k in keys], [ended[k] for k in keys]))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], schema=schema)
