@@ -8,6 +8,7 @@ cuts many texts. Titles, headings, credits, list items and sign-offs open lines
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -26,6 +27,8 @@ OPENING, OPENING_SEEN, ENDED = 5, 3, 0.5
 LENGTH_TEXTS, LENGTH_TIMES = 6, 12
 #: Words after the last sentence that no headline or credit has.
 LONG = 18
+#: Characters at a text's end that a mark lies within; the rest of the text is read for all else.
+MARK_CHARS = 80
 #: Texts shorter than this are stubs.
 STUB = 12
 
@@ -46,6 +49,7 @@ _BRACKETS = "\"“”„«»()[]{}<>|"
 _STRIP = ".,;:!?…।'’‘-–—/&#*"
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def _token(t: str) -> str:
     if any(c.isdigit() for c in t):
         return "0"
@@ -85,7 +89,7 @@ PROPER, MARKED, BROKEN, OPEN, DOTTED, POINT = 0, 1, 2, 3, 4, 5
 def end_of(text: str, title: str | None) -> tuple[int, str, str]:
     """(evidence, final token, the fragment after the last sentence boundary of the last line)."""
     body = text.rstrip()
-    if m := _MARK.search(body):
+    if _MARK.search(body[-MARK_CHARS:]):
         return MARKED, "", ""
     if body.endswith("�"):
         return BROKEN, "", ""
