@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from paperloom.plans import times
+from paperloom.plans import prose, relations, series, signatures, stories, text, times
 
-QUERIES = {**times.QUERIES}
-ORACLES = {**times.ORACLES}
-FLAGSHIP = "p4_found"
+_MODULES = (times, text, stories, series, signatures, prose, relations)
+QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+ORACLES = {k: s for m in _MODULES for k, s in m.ORACLES.items()}
+FLAGSHIP = "q_ranked_stories"
