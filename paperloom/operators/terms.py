@@ -69,8 +69,8 @@ PHRASE_STOPS = "a an the and or but of in on at to for with by from as is was we
 
 def candidate_phrases(docs: DataFrame, key: str, text: str, most: int = 5) -> DataFrame:
     """(key, phrase): runs of words between stop words, punctuation and digits, of at most so many words of two letters or more."""
-    pattern = r"\b(?:" + "|".join(PHRASE_STOPS) + r")\b|[^\w\s]|[0-9]+"
-    parts = docs.select(key, F.explode(F.split(F.regexp_replace(F.lower(text), r"\s+", " "), pattern)).alias("phrase")).withColumn("phrase", F.trim("phrase"))
+    pieces = docs.select(key, F.explode(F.split(F.regexp_replace(F.lower(text), r"\s+", " "), r"[^\w\s]|[0-9]+")).alias("piece"))
+    parts = pieces.select(key, F.explode(F.split("piece", r"\b(?:" + "|".join(PHRASE_STOPS) + r")\b")).alias("phrase")).withColumn("phrase", F.trim("phrase"))
     return parts.filter((F.col("phrase") != "") & F.col("phrase").rlike(rf"^\S{{2,}}(?: \S{{2,}}){{0,{most - 1}}}$"))
 
 

@@ -127,7 +127,7 @@ def q_readability(spark: SparkSession, folder: str) -> DataFrame:
 
 _SQL_SYL = """CASE WHEN length(z) = 0 THEN 0 WHEN length(z) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(z2, '[aeiouy]+')) -
   CASE WHEN regexp_matches(z2, 'e$') AND NOT regexp_matches(z2, '[^aeiouy]le$|ee$|ie$|ye$|oe$') AND len(regexp_extract_all(z2, '[aeiouy]+')) > 1 THEN 1 ELSE 0 END) END"""
-_PHRASE = r"\b(?:" + "|".join(terms.PHRASE_STOPS) + r")\b|[^\w\s]|[0-9]+"
+_PHRASE = r"\b(?:" + "|".join(terms.PHRASE_STOPS) + r")\b"
 _COOC = f"""tt AS (SELECT ordinal, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (SELECT ordinal, regexp_extract_all(lower(title), '{_WORDS}') AS w FROM items) i),
 ct AS (SELECT ordinal, token, row_number() OVER (PARTITION BY ordinal ORDER BY pos) AS p FROM tt WHERE token NOT IN ({_STOPS}) AND length(token) > 2 AND NOT regexp_matches(token, '^[0-9]+$')),
 pr AS (SELECT x.token AS a, y.token AS b, 1.0 / (y.p - x.p) AS w FROM ct x JOIN ct y ON x.ordinal = y.ordinal AND y.p BETWEEN x.p + 1 AND x.p + 5),
@@ -165,7 +165,7 @@ SELECT doc_id, kind, count(*) AS n, min(found) AS least FROM f GROUP BY doc_id,
     + " END WHEN best > 0 THEN CASE "
     + " ".join(f"WHEN f_{k} = best THEN '{k}'" for k in sorted(X.FUNCTION_WORDS, reverse=True))
     + " END ELSE 'en' END AS lang FROM g",
-    "q_rake": f"""WITH p AS (SELECT ordinal, trim(x) AS phrase FROM (SELECT ordinal, unnest(string_split_regex(regexp_replace(lower(summary), '\\s+', ' ', 'g'), '{_PHRASE}')) AS x FROM items WHERE summary IS NOT NULL) t),
+    "q_rake": f"""WITH p AS (SELECT ordinal, trim(x) AS phrase FROM (SELECT ordinal, unnest(string_split_regex(piece, '{_PHRASE}')) AS x FROM (SELECT ordinal, unnest(string_split_regex(regexp_replace(lower(summary), '\\s+', ' ', 'g'), '[^\\w\\s]|[0-9]+')) AS piece FROM items WHERE summary IS NOT NULL) q) t),
 c AS (SELECT ordinal, phrase, string_split(phrase, ' ') AS w FROM p WHERE regexp_matches(phrase, '^\\S{{2,}}(?: \\S{{2,}}){{0,4}}$')),
 s AS (SELECT ordinal, word, (sum(d) + count(*)) / count(*) AS s FROM (SELECT ordinal, unnest(w) AS word, len(w) - 1 AS d FROM c) e GROUP BY ordinal, word),
 u AS (SELECT DISTINCT ordinal, phrase, len(w) AS k, w FROM c)
