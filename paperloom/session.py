@@ -10,7 +10,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -79,11 +78,3 @@ def ship(spark: SparkSession) -> None:
         for p in sorted(here.rglob("*.py")):
             out.write(p, os.path.join("paperloom", p.relative_to(here)))
     spark.sparkContext.addPyFile(str(target))
-
-
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Splits what a single small file would leave in one task; a table of several partitions stays as it is."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if df.rdd.getNumPartitions() * 2 >= min(n, 8):
-        return df
-    return df.repartition(min(n, 8), *[F.col(c) for c in cols])
