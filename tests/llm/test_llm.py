@@ -124,6 +124,23 @@ def test_page_parts(spark):
     assert boilerplate.paragraphs(df.limit(0)).count() == 0
 
 
+def test_long_notices_are_no_stories(spark):
+    rng = random.Random(9)
+    words = "harbour council bridge museum river market school railway garden winter engineer price letter stone window".split()
+    say = lambda: f"The {' '.join(rng.sample(words, 9))} of the {' '.join(rng.sample(words, 9))} is in the {rng.choice(words)}."
+    legal = "We and our partners keep small files on your device to remember your choices and to measure how the pages are read. You can change your mind at any time in the settings of this page, and what you chose will be kept for a year."
+    wall = "This story is for members only, and you have to log in or subscribe before you can go on reading it on this device. A subscription costs less than a coffee a week, and you can end it whenever you like without giving a reason."
+    data = [(i, "Site", f"Headline {rng.choice(words)} {i}", [say() + " " + say(), say() + " " + say(), "Read more", legal], "x") for i in range(30)]
+    data += [(100 + i, "Site", f"Members {i}", [wall, "Read more"], None) for i in range(6)] + [(200 + i, "Site", "One story told again", [data[0][3][0].replace("The", "That"), data[1][3][0].replace("The", "That")], None) for i in range(4)]
+    data += [(300, "Other", "Headline", [legal.replace("pages", "texts"), say() + " " + say()], None)]
+    df = spark.createDataFrame(data, "article_id int, source string, title string, html_paragraphs array<string>, score string")
+    got = {(r.page_id, r.par_no): r.story for r in boilerplate.paragraphs(df).collect()}
+    assert not any(got[i, 4] or got[i, 3] for i in range(30)) and all(got[i, 1] and got[i, 2] for i in range(30))
+    assert not any(got[100 + i, 1] for i in range(6)) and all(got[200 + i, p] for i in range(4) for p in (1, 2)) and got[300, 1]
+    pages = df.withColumn("text", F.array_join("html_paragraphs", "\n"))
+    assert {r.page_id for r in residue.residue_pages(pages).collect() if r.reason == "notice"} == {100 + i for i in range(6)}
+
+
 def test_residue(spark):
     df = pages_frame(spark).withColumn("text", F.array_join(F.transform("html_paragraphs", lambda p: F.coalesce(p, F.lit(""))), "\n"))
     got = {(r.page_id, r.reason) for r in residue.residue_pages(df).collect()}
