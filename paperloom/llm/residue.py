@@ -28,8 +28,6 @@ BLOCKS = 4
 DISTANCE = 26
 #: Similarity of two lines' shingle sets from which on they are near-duplicates.
 SIMILAR = 0.8
-#: Rounds after which the passing-on of labels gives up; components of lines are shallow.
-ROUNDS = 8
 
 def simhash(lists: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """64-bit SimHashes of lists of shingle keys, given as one flat array with offsets."""
@@ -76,7 +74,7 @@ def spread_labels(lines: DataFrame) -> DataFrame:
     known = base.filter(F.col("label").isNotNull())
     fresh, rest = known, base.filter(F.col("label").isNull())
     found = known.select("line", "label")
-    for _ in range(ROUNDS):
+    while True:  # each round takes lines from the rest, so that it ends
         left = fresh.select("label", F.explode(blocks).alias("block"), F.col("hash").alias("h"), F.col("keys").alias("k")).dropDuplicates(["block", "h"])
         right = rest.select("line", "keys", "hash", F.explode(blocks).alias("block"))
         both = F.size(F.array_intersect("k", "keys"))

@@ -33,12 +33,13 @@ def minhash(shingles: DataFrame, key: str, shingle: str = "shingle") -> DataFram
     return shingles.groupBy(key).agg(*minima).select(key, F.array(*[f"m{i}" for i in range(SLOTS)]).alias("signature"))
 
 
-def near_duplicates(signatures: DataFrame, sets: DataFrame, key: str, least: float = 0.8, steps: int = 12) -> DataFrame:
+def near_duplicates(signatures: DataFrame, sets: DataFrame, key: str, least: float = 0.8) -> DataFrame:
     """(key, class_id, links): the class of each document of which another has a Jaccard of its shingle set from least on.
 
     signatures: (key, signature). sets: (key, shingles), arrays of the distinct shingles. Documents of one signature
     stand as one; the others meet where a band agrees, each pair once, and are verified on their sets. Classes are
-    the connected components, found by passing the least key on along links.
+    the connected components, found by passing the least key on along links and then on from each row to the label of its
+    label (pointer jumping), until nothing moves.
     """
     alike = signatures.groupBy(F.xxhash64("signature").alias("sig")).agg(F.min(key).alias("rep"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("copies"))
     alike = cut(alike, "signatures")
@@ -50,12 +51,15 @@ def near_duplicates(signatures: DataFrame, sets: DataFrame, key: str, least: flo
     links = cut(met.join(own("x"), "x").join(own("y"), "y").filter(both >= least * (F.size("s_x") + F.size("s_y") - both)).select("x", "y"), "links")
     every = links.unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y")))
     label = alike.select(F.col("rep").alias("x"), F.col("rep").alias("class_id"))
-    for _ in range(steps):
+    while True:
         passed = every.join(label.select(F.col("x").alias("y"), F.col("class_id").alias("other")), "y").groupBy("x").agg(F.min("other").alias("other"))
         moved = cut(label.join(passed, "x", "left").select("x", F.least("class_id", F.coalesce("other", "class_id")).alias("class_id"), (F.col("other") < F.col("class_id")).alias("moved")), "labels")
         label = moved.drop("moved")
         if moved.filter("moved").isEmpty():
             break
+        # A label is the key of a document of the same component, whose own label is at most as great.
+        on = label.select(F.col("x").alias("class_id"), F.col("class_id").alias("further"))
+        label = cut(label.join(on, "class_id").select("x", F.col("further").alias("class_id")), "labels")
     degree = every.groupBy("x").agg(F.count(F.lit(1)).alias("links"))
     classes = label.join(degree, "x", "left").select(F.col("x").alias("rep"), "class_id", F.coalesce("links", F.lit(0)).alias("links"))
     members = signatures.select(key, F.xxhash64("signature").alias("sig")).join(alike.select("sig", "rep", "copies"), "sig").join(classes, "rep")

@@ -150,6 +150,11 @@ def test_residue(spark):
     assert residue.spread_labels(spark.createDataFrame([(1, 5, list(range(20))), (2, None, list(range(19))), (3, None, list(range(18))), (4, None, list(range(50, 60))), (5, None, [])], "line long, label int, keys array<long>")).count() == 3
 
 
+def test_labels_pass_along_long_chains(spark):
+    data = [(i, 5 if i == 0 else None, list(range(i, i + 20))) for i in range(14)]
+    assert residue.spread_labels(spark.createDataFrame(data, "line long, label int, keys array<long>")).count() == 14
+
+
 # 7. Batches
 
 

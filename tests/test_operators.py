@@ -99,6 +99,12 @@ def test_near_documents_against_brute_force(spark):
     assert got == want
 
 
+def test_near_documents_along_a_chain(spark):
+    df = spark.createDataFrame([(k, list(range(4 * k, 4 * k + 100))) for k in range(41)], "id long, shingles array<long>").cache()
+    each = df.select("id", F.explode("shingles").alias("shingle"))
+    assert dict(hashing.near_duplicates(hashing.minhash(each, "id"), df, "id").select("id", "class_id").collect()) == dict.fromkeys(range(41), 0)
+
+
 def test_nearest_against_brute_force(spark):
     rng = random.Random(7)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(120)] + [(500, [0.0] * 8)]
