@@ -52,7 +52,7 @@ def q_heat(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_bursts(spark: SparkSession, folder: str) -> DataFrame:
     """Users that burst at the end of the stream."""
-    return series.bursts(_events(spark, folder), "event_type", "ts", _now(spark, folder)).withColumn("score", F.round("score", 4))
+    return series.bursts(_events(spark, folder), "user_id", "ts", _now(spark, folder)).withColumn("score", F.round("score", 4))
 
 
 def q_breaking(spark: SparkSession, folder: str) -> DataFrame:

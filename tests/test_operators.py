@@ -105,6 +105,16 @@ def test_near_documents_along_a_chain(spark):
     assert dict(hashing.near_duplicates(hashing.minhash(each, "id"), df, "id").select("id", "class_id").collect()) == dict.fromkeys(range(41), 0)
 
 
+def test_bursts_are_of_users(spark, tmp_path):
+    from paperloom.plans.series import q_bursts
+
+    rows = [(i, f"2025-01-01 {i:02d}:00:00", 1 + i % 3, "click") for i in range(20)] + [(100 + i, f"2025-01-01 23:5{i}:00", 7, "view") for i in range(6)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    got = q_bursts(spark, str(tmp_path)).collect()
+    last = [r for r in rows if r[1] >= "2025-01-01 20:55:00"]
+    assert {r.term: r.recent for r in got} == {u: sum(r[2] == u for r in last) for u in {r[2] for r in last} if sum(r[2] == u for r in last) >= 2}
+
+
 def test_nearest_against_brute_force(spark):
     rng = random.Random(7)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(120)] + [(500, [0.0] * 8)]
