@@ -86,12 +86,11 @@ def leader_clusters(items: DataFrame, block: str, key: str, words: str, order: s
 def capped_top(items: DataFrame, order: list[Column], caps: dict[str, int], limit: int) -> DataFrame:
     """The first rows in order that respect every cap at once, greedily; a row that one cap skips uses up no other.
 
-    Rows beyond a column's own cap times the product of skips can't be picked by it: each column keeps at first as many
-    rows a value as all picks could need, so that the ordered pass sees a bounded table.
+    Of the rows alike in all capped columns only the first, as many as the least cap, can be picked: each before them is
+    picked too, or skipped by a cap that stays full. The ordered pass sees no others.
     """
-    first, most = next(iter(caps.items()))
-    ranked = items.withColumn("_rank", F.row_number().over(Window.partitionBy(first).orderBy(*order))).filter(F.col("_rank") <= most * limit).drop("_rank")
-    rows = ranked.orderBy(*order).limit(limit * max(caps.values()) * 50)
+    ranked = items.withColumn("_rank", F.row_number().over(Window.partitionBy(*caps).orderBy(*order))).filter(F.col("_rank") <= min(caps.values())).drop("_rank")
+    rows = ranked.repartition(1).sortWithinPartitions(*order)
     schema = T.StructType([*items.schema.fields, T.StructField("place", T.IntegerType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,4 +109,4 @@ def capped_top(items: DataFrame, order: list[Column], caps: dict[str, int], limi
             out["place"] = [p for _, p in keep]
             yield out.astype({"place": "int32"})
 
-    return rows.coalesce(1).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)

@@ -105,6 +105,12 @@ def test_near_documents_along_a_chain(spark):
     assert dict(hashing.near_duplicates(hashing.minhash(each, "id"), df, "id").select("id", "class_id").collect()) == dict.fromkeys(range(41), 0)
 
 
+def test_capped_top_past_filled_categories(spark):
+    rows = [(i, "a", "x", 1000.0 - i) for i in range(100)] + [(200, "b", "x", 2000.0), (201, "a", "y", 1.0)]
+    df = spark.createDataFrame(rows, "id long, host string, category string, score double")
+    assert [r.id for r in stories.capped_top(df, [F.col("score").desc()], {"host": 2, "category": 1}, 9).orderBy("place").collect()] == [200, 201]
+
+
 def test_bursts_are_of_users(spark, tmp_path):
     from paperloom.plans.series import q_bursts
 
