@@ -8,6 +8,7 @@ are removed, and each text is put together again from its other lines by positio
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +60,9 @@ def excessive(df: DataFrame, row_id: str = "row_id", source: str = "source", tex
 
     The outside frequency of a form is its frequency in the sources that do not repeat it themselves, that is,
     where it stays under min_rows or min_share: a line such as "Advertisement" that many sources repeat is in
-    excess in each of them. Where no such source is left, the outside counts as one row with none.
+    excess in each of them. Where no such source is left, or so few rows of such sources that the ratio could not be
+    significant by itself though none of them had the line, there is nothing to test against: min_rows and min_share
+    decide, if the line is rarer outside.
     Rows without a source belong to no source and have no excessive lines.
     """
     known = df.filter(F.col(source).isNotNull())
@@ -71,11 +74,15 @@ def excessive(df: DataFrame, row_id: str = "row_id", source: str = "source", tex
     repeated = counts.filter("repeats")
     inside = repeated.groupBy("key").agg(F.sum("total").alias("repeating"))
     outside = counts.filter(~F.col("repeats")).join(inside.select("key"), "key", "left_semi").groupBy("key").agg(F.sum("rows").alias("elsewhere"))
-    n2 = F.greatest(F.col("every") - F.col("repeating"), F.lit(1))
-    tested = repeated.join(inside, "key").join(outside, "key", "left").crossJoin(every).withColumn("g2", _g2(F.col("rows").cast("double"), F.col("total").cast("double"), F.coalesce("elsewhere", F.lit(0)).cast("double"), n2.cast("double")))
-    tested = cut(tested.select("source", "key", "rows", (F.col("rows") / F.col("total")).alias("share"), "g2"), "line-tests")
-    floor = _threshold(tested, counts.count(), fdr)
-    return tested.filter(F.col("g2") >= floor)
+    tests = counts.count()
+    need = NormalDist().inv_cdf(min(fdr / max(tests, 1), 0.5)) ** 2
+    left = F.col("every") - F.col("repeating")
+    n1, n2, k2 = F.col("total").cast("double"), F.greatest(left, F.lit(1)).cast("double"), F.coalesce("elsewhere", F.lit(0)).cast("double")
+    few = (left == 0) | ((_g2(F.col("rows").cast("double"), n1, F.lit(0.0), n2) < need) & (k2 / n2 < F.col("rows") / n1))
+    tested = repeated.join(inside, "key").join(outside, "key", "left").crossJoin(every).withColumn("g2", _g2(F.col("rows").cast("double"), n1, k2, n2)).withColumn("few", few)
+    tested = cut(tested.select("source", "key", "rows", (F.col("rows") / F.col("total")).alias("share"), "g2", "few"), "line-tests")
+    floor = _threshold(tested, tests, fdr)
+    return tested.filter((F.col("g2") >= floor) | F.col("few")).drop("few")
 
 
 def _threshold(tested: DataFrame, tests: int, fdr: float) -> float:

@@ -42,6 +42,14 @@ def test_repeated_lines(spark):
     assert repeated_lines.repeated_lines(df.limit(0), "article_id").count() == 0
 
 
+def test_repeated_lines_without_an_outside(spark):
+    one = [(i, "a", f"story {chr(97 + i % 26)}{chr(97 + i // 26)}" + ("\nAdvertisement" if i % 10 == 0 else "")) for i in range(100)]
+    every = [(100 * s + i, f"s{s}", f"story {chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + s)}" + ("\nAdvertisement" if i % 10 == 0 else "")) for s in range(4) for i in range(100)]
+    for data in (one, every):
+        df = spark.createDataFrame(data, "article_id int, source string, text string")
+        assert {(r.row_id, r.line_no) for r in repeated_lines.repeated_lines(df, "article_id").collect()} == {(i, 2) for i, _, t in data if "Adv" in t}
+
+
 # 2. Reading level
 
 
