@@ -1,15 +1,17 @@
 """Template residue, filler, and error pages or notices in place of a story.
 
-Lines that carry trusted marks (template delimiters, filler words, words of notices) are the labelled ones. Their
-labels pass on to near-duplicates: distinct lines, in a common dress, meet in SimHash tables keyed by blocks of the
-hash, are verified by Hamming distance and by the similarity of their five-word shingles, and carry the label on
-until no line is added, so that each connected component with a trusted line is labelled. A page is then judged
-by its labelled lines and by whether it has a story.
+Lines that carry trusted marks (template delimiters, filler words, words of notices: residue_marks lists them) are the
+labelled ones. Their labels pass on to near-duplicates: each distinct line has a SimHash of its tokens and pairs of
+them, in a common dress, and meets others in tables partitioned by pairs of blocks of the hash; links are verified by
+Hamming distance and by the similarity of five-word shingle sets, and labels follow them until no line is added,
+so that each connected component with a trusted line is labelled. A page is then judged by its labelled lines and by
+whether it has a story.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,23 +20,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.llm import boilerplate as pages_
+from paperloom.llm import streams
 from paperloom.llm.boilerplate import FILLED, NOTICED, TEMPLATE_IN, TEMPLATE_ONLY
 from paperloom.session import cut
 
-#: Tables, each keyed by a block of the hash; hashes that differ in fewer bits always agree in one.
+#: Blocks of a hash. Each pair of them keys a table, by 32 bits: hashes that differ in at most BLOCKS - 2 bits always
+#: meet in one, and unrelated ones hardly ever do, however many lines there are.
 BLOCKS = 4
-#: Bits that the hashes of near-duplicates may differ in. Lines are short, so that one shingle in ten turns several bits;
-#: unrelated lines differ in about half of the 64.
-DISTANCE = 26
+#: Bits that the hashes of near-duplicates may differ in. A word in twenty turns about eight; unrelated lines differ in
+#: about 32, with a standard deviation of 4.
+DISTANCE = 16
 #: Similarity of two lines' shingle sets from which on they are near-duplicates.
 SIMILAR = 0.8
 
-def simhash(lists: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """64-bit SimHashes of lists of shingle keys, given as one flat array with offsets."""
-    x = lists.astype(np.uint64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # splitmix64's finaliser
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    x ^= x >> np.uint64(31)
+
+def simhash(features: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """64-bit SimHashes of lists of features, given as one flat array with offsets."""
+    x = streams.mix(features.astype(np.uint64) + np.uint64(1))
     out = np.zeros(len(offsets) - 1, np.uint64)
     for bit in range(64):
         up = np.concatenate([[0], np.cumsum(((x >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) * 2 - 1)])
@@ -43,49 +45,51 @@ def simhash(lists: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    """(line, label, keys) with the column hash."""
-    at = lines.columns.index("keys")
+    """(line, label, shingles, hash) of (line, label, shingles, feats)."""
+    at = lines.columns.index("feats")
+    keep = [i for i in range(len(lines.columns)) if i != at]
+    fields = [lines.schema.fields[i] for i in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column(at)
             offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(simhash(lists.flatten().to_numpy(zero_copy_only=False), offsets))], names=[*b.schema.names, "hash"])
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), pa.array(simhash(lists.flatten().to_numpy(zero_copy_only=False), offsets))], names=[*(f.name for f in fields), "hash"])
 
-    return lines.mapInArrow(run, T.StructType([*lines.schema.fields, T.StructField("hash", T.LongType())]))
+    return lines.mapInArrow(run, T.StructType([*fields, T.StructField("hash", T.LongType())]))
 
 
 def spread_labels(lines: DataFrame) -> DataFrame:
     """(line, label) of every line that carries a label or that a chain of near-duplicates joins to one.
 
-    lines: (line, label, keys), one row a distinct line, label null where unknown, keys its shingles' keys.
-    Blocks alone would miss short lines, whose hashes move much with a single shingle: a table of the first shingles of
-    each set, in the order of their keys, holds at least one in common of any two sets as alike as that.
-    Each round looks the newly labelled lines up in the tables; a line is added once, whatever the number of its
-    neighbours. Lines of equal shingles have equal hashes and meet as one.
+    lines: (line, label, feats, shingles), one row a distinct line, label null where unknown. The SimHash tables alone
+    would miss short lines, whose hashes move much with a single word: a table of the first shingles of each set, in
+    the order of their keys, holds at least one in common of any two sets as alike as that. Each round looks the newly
+    labelled lines up in the tables; a line is added once, whatever the number of its neighbours. Lines of equal
+    shingles meet as one; those without any take no part.
     """
     width = 64 // BLOCKS
-    blocks = F.array(*[F.struct(F.lit(b).alias("no"), F.shiftrightunsigned("hash", b * width).bitwiseAND(F.lit((1 << width) - 1)).alias("part")) for b in range(BLOCKS)])
-    size = F.size(F.array_distinct("keys"))
-    first = F.slice(F.array_sort(F.array_distinct("keys")), 1, (size - F.ceil(SIMILAR * size) + 1).cast("int"))
-    blocks = F.concat(blocks, F.transform(first, lambda k: F.struct(F.lit(-1).alias("no"), k.alias("part"))))
-    grouped = lines.filter(F.size("keys") > 0).withColumn("group", F.xxhash64("keys"))
-    base = cut(_hashed(grouped.groupBy(F.col("group").alias("line")).agg(F.max("label").alias("label"), F.first("keys").alias("keys"))), "line-hashes")
+    block = lambda i: F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit((1 << width) - 1))
+    tables = F.array(*[F.struct(F.lit(no).alias("no"), (F.shiftleft(block(i), width) + block(j)).alias("part")) for no, (i, j) in enumerate(combinations(range(BLOCKS), 2))])
+    size = F.size("shingles")
+    first = F.slice(F.array_sort("shingles"), 1, (size - F.ceil(SIMILAR * size) + 1).cast("int"))
+    tables = F.concat(tables, F.transform(first, lambda k: F.struct(F.lit(-1).alias("no"), k.alias("part"))))
+    grouped = lines.filter(F.size("shingles") > 0).withColumn("shingles", F.array_distinct("shingles")).withColumn("group", F.xxhash64(F.array_sort("shingles")))
+    base = cut(_hashed(grouped.groupBy(F.col("group").alias("line")).agg(F.max("label").alias("label"), F.first("shingles").alias("shingles"), F.first("feats").alias("feats"))), "line-hashes")
     known = base.filter(F.col("label").isNotNull())
     fresh, rest = known, base.filter(F.col("label").isNull())
     found = known.select("line", "label")
     while True:  # each round takes lines from the rest, so that it ends
-        left = fresh.select("label", F.explode(blocks).alias("block"), F.col("hash").alias("h"), F.col("keys").alias("k")).dropDuplicates(["block", "h"])
-        right = rest.select("line", "keys", "hash", F.explode(blocks).alias("block"))
-        both = F.size(F.array_intersect("k", "keys"))
-        near = (F.bit_count(F.col("h").bitwiseXOR(F.col("hash"))) <= DISTANCE) & (both >= SIMILAR * (F.size(F.array_distinct("k")) + F.size(F.array_distinct("keys")) - both))
-        added = cut(right.join(left, "block").filter(near).groupBy("line").agg(F.max("label").alias("label")), "spread-labels")
+        left = fresh.select("label", F.explode(tables).alias("table"), F.col("hash").alias("h"), F.col("shingles").alias("s"))
+        right = rest.select("line", "shingles", "hash", F.explode(tables).alias("table"))
+        both = F.size(F.array_intersect("s", "shingles"))
+        near = (F.bit_count(F.col("h").bitwiseXOR(F.col("hash"))) <= DISTANCE) & (both >= SIMILAR * (F.size("s") + F.size("shingles") - both))
+        added = cut(right.join(left, "table").filter(near).groupBy("line").agg(F.max("label").alias("label")), "spread-labels")
         if added.isEmpty():
             break
         found = found.unionByName(added)
-        fresh = rest.join(added, "line").select("line", added["label"], "keys", "hash")
+        fresh = cut(rest.join(added, "line").select("line", added["label"], "shingles", "hash"), "freshly-labelled")
         rest = cut(rest.join(added.select("line"), "line", "left_anti"), "unlabelled")
-        fresh = cut(fresh, "freshly-labelled")
     return grouped.select("line", "group").join(found.withColumnRenamed("line", "group"), "group").select("line", "label")
 
 
@@ -102,9 +106,9 @@ def residue_pages(articles: DataFrame, page_id: str = "article_id", site: str =
 
 
 def _judge(want: DataFrame) -> DataFrame:
-    judged, lines = pages_.with_lines(want, "page_id", "source", "title", "pars")
+    judged, lines = pages_.with_lines(want, "page_id", "source", "title", "pars", shingled=True)
     # Lines of stories take no labels.
-    labels = spread_labels(lines.filter((F.col("score") > pages_.SURE_STORY) | (F.col("mark") != pages_.PLAIN)).select("line", F.when(F.col("mark") != pages_.PLAIN, F.col("mark")).alias("label"), "keys"))
+    labels = spread_labels(lines.filter((F.col("score") > pages_.SURE_STORY) | (F.col("mark") != pages_.PLAIN)).select("line", F.when(F.col("mark") != pages_.PLAIN, F.col("mark")).alias("label"), "feats", "shingles"))
     marked = judged.join(labels, "line", "left")
     mark = F.coalesce(F.when(F.col("mark") != pages_.PLAIN, F.col("mark")), F.when(~F.col("story"), F.col("label")), F.lit(pages_.PLAIN))
     per = marked.groupBy("uid", "page_id").agg(

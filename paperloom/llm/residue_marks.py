@@ -31,6 +31,19 @@ NOTICE = re.compile(
     r"|ত্রুটি|পাওয়া যায়নি|লগ ?ইন|সাবস্ক্রাইব|জাভাস্ক্রিপ্ট|গ্রাহক হোন|চালু করুন",
 )
 
+# Searches over lower-cased texts, in RE2's dialect, that pass everything the exact patterns can fit and little else.
+FILLER_HINT = "|".join(_FILLER_HINTS)
+RESIDUE_HINT = (
+    r"\{\{|\{%|<%|&lt;%|\$\{|\[\[|%\(|\{[a-z_]\w*\}|\{\d|<(?:placeholder|title|name|insert|todo)|\[(?:tbc|tbd|tk|todo|insert|your|gallery|quote|photo|image|video|embed|caption|name|date|headline|city|placeholder|object)"
+    r"|\bnan\b|[a-z]_[a-z]|\bxx|\btk ?tk|\bt[bk][cd]?:|__[a-z]|@@|%%|\$\$"
+)
+NOTICE_HINT = (
+    r"oops|went wrong|error|traceback|exception|not found|forbidden|denied|unavailable|time[d -]?out|too many requests|bad gateway|no content was|taken down|could not be|cannot (?:open|load|be shown)|not offered where|planned work"
+    r"|script|cookies are|blocked|captcha|robot|human|log ?in|sign in|session|member|subscri|trial|free |plans from|to read on|to go on"
+    r"|erreur|introuvable|refus|indisponible|abonn|connectez|activer|fehler|nicht gefunden|verweigert|skripte|einschalten|\babo\b|anmelden|denegado|no encontrad|active|suscr|inicie|iniciar"
+    r"|ত্রুটি|পাওয়া যায়নি|লগ|সাবস্ক্রাইব|জাভাস্ক্রিপ্ট|গ্রাহক হোন|চালু করুন"
+)
+
 
 def filler(text: str) -> bool:
     """Whether a text is, or holds, filler: its usual words, or one word again and again."""

@@ -149,18 +149,51 @@ def test_long_notices_are_no_stories(spark):
     assert {r.page_id for r in residue.residue_pages(pages).collect() if r.reason == "notice"} == {100 + i for i in range(6)}
 
 
+def test_suffixes_against_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{chr(97 + i)}" for i in range(9)]
+    pages = [(i, "Site", None, [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(3)]) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, site string, title string, pars array<string>")
+    first = df.repartition(3).mapInArrow(boilerplate._first_pass(False), boilerplate._PASS).cache()
+    where = {(r.page_id, r.par_no): r for r in first.filter("kind = 0").collect()}
+    streams_ = {p: ["#"] + [t for x in pars for t in [*x.split(), "#"]] for p, _, _, pars in pages}
+    runs = {}
+    for p, s in streams_.items():
+        for i in (i for i in range(len(s)) if i == 0 or s[i - 1] != "#"):
+            for n in range(2, boilerplate.LINE_DEPTH + 1):
+                runs.setdefault(tuple(s[i : i + n]), set()).add(p) if i + n <= len(s) else None
+    want = {}
+    for p, s in streams_.items():
+        at = 0
+        for par, x in enumerate(pages[p][3], 1):
+            size = len(x.split())
+            for start, gap, room in [(at, 2, size + 1)] + [(at + 1 + j, 1, size - j) for j in range(1, size)]:
+                best = max([n for n in range(2, boilerplate.LINE_DEPTH + 1) if start + n <= len(s) and len(runs[tuple(s[start : start + n])]) >= 3], default=0)
+                line = where[p, par].line
+                want[line] = want.get(line, 0) + (min(best, gap) if best >= min(boilerplate.SHORT, room + 1) else 0)
+            at += size + 1
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "7"):  # with seven sorted ranges, equal beginnings cross their borders
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.line: r.cov for r in boilerplate.covered_tokens(first).collect()}
+        assert got == {k: v for k, v in want.items() if v}
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
 def test_residue(spark):
     df = pages_frame(spark).withColumn("text", F.array_join(F.transform("html_paragraphs", lambda p: F.coalesce(p, F.lit(""))), "\n"))
     got = {(r.page_id, r.reason) for r in residue.residue_pages(df).collect()}
     assert {(900, "notice"), (901, "filler"), (904, "template")} <= got
     assert not [x for x in got if x[0] < 160 or x[0] in (902, 903, 906)]
     assert residue.residue_pages(df.limit(0)).count() == 0
-    assert residue.spread_labels(spark.createDataFrame([(1, 5, list(range(20))), (2, None, list(range(19))), (3, None, list(range(18))), (4, None, list(range(50, 60))), (5, None, [])], "line long, label int, keys array<long>")).count() == 3
+    rows = [(1, 5, list(range(20))), (2, None, list(range(19))), (3, None, list(range(18))), (4, None, list(range(50, 60))), (5, None, [])]
+    assert residue.spread_labels(spark.createDataFrame([(*r, r[2]) for r in rows], "line long, label int, feats array<int>, shingles array<long>")).count() == 3
 
 
 def test_labels_pass_along_long_chains(spark):
-    data = [(i, 5 if i == 0 else None, list(range(i, i + 20))) for i in range(14)]
-    assert residue.spread_labels(spark.createDataFrame(data, "line long, label int, keys array<long>")).count() == 14
+    data = [(i, 5 if i == 0 else None, list(range(i, i + 20)), list(range(i, i + 20))) for i in range(14)]
+    assert residue.spread_labels(spark.createDataFrame(data, "line long, label int, feats array<int>, shingles array<long>")).count() == 14
 
 
 # 7. Batches
