@@ -84,12 +84,11 @@ def spread_labels(lines: DataFrame) -> DataFrame:
         right = rest.select("line", "shingles", "hash", F.explode(tables).alias("table"))
         both = F.size(F.array_intersect("s", "shingles"))
         near = (F.bit_count(F.col("h").bitwiseXOR(F.col("hash"))) <= DISTANCE) & (both >= SIMILAR * (F.size("s") + F.size("shingles") - both))
-        added = cut(right.join(left, "table").filter(near).groupBy("line").agg(F.max("label").alias("label")), "spread-labels")
+        added = cut(right.join(left, "table").filter(near).groupBy("line").agg(F.max("label").alias("label"), F.first("shingles").alias("shingles"), F.first("hash").alias("hash")), "spread-labels")
         if added.isEmpty():
             break
-        found = found.unionByName(added)
-        fresh = cut(rest.join(added, "line").select("line", added["label"], "shingles", "hash"), "freshly-labelled")
-        rest = cut(rest.join(added.select("line"), "line", "left_anti"), "unlabelled")
+        found = found.unionByName(added.select("line", "label"))
+        fresh, rest = added, cut(rest.join(added.select("line"), "line", "left_anti"), "unlabelled")
     return grouped.select("line", "group").join(found.withColumnRenamed("line", "group"), "group").select("line", "label")
 
 

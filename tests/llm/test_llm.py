@@ -166,6 +166,9 @@ def test_suffixes_against_brute_force(spark):
     for p, s in streams_.items():
         at = 0
         for par, x in enumerate(pages[p][3], 1):
+            if where[p, par].anchors is None:
+                at += len(x.split()) + 1
+                continue
             size = len(x.split())
             for start, gap, room in [(at, 2, size + 1)] + [(at + 1 + j, 1, size - j) for j in range(1, size)]:
                 best = max([n for n in range(2, boilerplate.LINE_DEPTH + 1) if start + n <= len(s) and len(runs[tuple(s[start : start + n])]) >= 3], default=0)
