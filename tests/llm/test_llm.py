@@ -229,13 +229,44 @@ def test_repeats_by_batch_equal_those_at_once(spark):
     found = {}
     for n in (1, 2):
         batch = df.filter(f"batch_no = {n}")
-        found |= {r.ordinal_dup: found.get(r.ordinal_first, r.ordinal_first) for r in index.check(batch).collect()}
-        index.append(batch)
+        checked = {(r.ordinal_first, r.ordinal_dup) for r in index.check(batch).collect()}
+        accepted = {(r.ordinal_first, r.ordinal_dup) for r in index.accept(batch).collect()}
+        assert checked == accepted
+        found |= {b: a for a, b in accepted}
     assert once == want and {(a, b) for b, a in found.items()} == want
     assert increments.repeats(df.filter("batch_no = 0")).count() == 0
     assert {(r.ordinal_first, r.ordinal_dup) for r in increments.repeats(df.filter("batch_no > 0")).collect()} == {(9, 10), (6, 11)}
 
 
+def test_every_title_alike_is_found_whatever_the_history(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(60)]
+    old = [rng.sample(words, 8) for _ in range(1500)]
+    new = []
+    for _ in range(60):
+        t = list(rng.choice(old))
+        for i in rng.sample(range(8), rng.randrange(1, 4)):
+            t[i] = rng.choice(words)
+        new.append(rng.sample(t, 8))
+    data = [(i + 1, " ".join(t), None, None, int(i >= len(old))) for i, t in enumerate(old + new)]
+    df = spark.createDataFrame(data, "ordinal long, title string, url string, source string, batch_no int")
+    index = increments.RepeatIndex(spark)
+    index.build(df.filter("batch_no = 0"))
+    dressed = index._dress(df.filter("batch_no = 1"), index.counts).cache()
+    keys = dressed.select("ordinal", "dress", "cut_off", "chunks", "size", F.explode("keys").alias("k")).select("ordinal", "dress", "cut_off", "chunks", "size", "k.kind", "k.key")
+    found = {(r.new, r.old) for r in index._near(dressed, keys).collect()}
+    sets = {o: {c: len(c) for c in increments.chunks(increments.title_tokens(t, None)[0])} for o, t, *_ in data}
+    likely = set()
+    for i in range(len(old), len(data)):
+        for j in range(i):
+            a, b = sets[i + 1], sets[j + 1]
+            if sum(n for c, n in a.items() if c in b) >= increments.COVERAGE * max(sum(a.values()), sum(b.values())) and data[i][1].split() != data[j][1].split():
+                if increments.compare(sorted(data[i][1].split()), sorted(data[j][1].split()), False, False):
+                    likely.add((i + 1, j + 1))
+    met = {(r.new, r.old) for r in index.met(dressed, keys).collect()}
+    assert likely <= met and found <= met
+
+
 # 8. Packing
 
 
