@@ -56,6 +56,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unique(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Key of an ordered pair of keys."""
     return mix(a * np.uint64(0xD6E8FEB86659FD93) + b)
@@ -94,7 +100,7 @@ def tokens(texts: pa.Array) -> Tokens:
     if not n:
         return Tokens(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool))
     kind = _KIND[b]
-    starts = np.unique(edges[:-1][edges[:-1] < n])
+    starts = unique(edges[:-1][edges[:-1] < n])
     before = np.concatenate([[0], kind[:-1]]).astype(np.uint8)
     before[starts] = 0
     after = np.concatenate([kind[1:], [0]]).astype(np.uint8)
