@@ -125,9 +125,9 @@ ORACLES = {
     "q_ranked_stories": f"WITH {_SCORED} SELECT ordinal, host, title, score FROM (SELECT ordinal, host, title, round(score, 4) AS score FROM scored QUALIFY row_number() OVER (PARTITION BY host ORDER BY round(score, 4) DESC, ordinal) <= 5) t ORDER BY score DESC, ordinal LIMIT 20",
     "q_set_similarity": f"""WITH {_PAIRS}, s AS (SELECT ordinal, list_distinct(regexp_extract_all(lower(ta), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(tb), '[a-z0-9]+')) AS b FROM p),
 n AS (SELECT ordinal, len(a) AS na, len(b) AS nb, len(list_intersect(a, b)) AS c FROM s)
-SELECT ordinal, round(CASE WHEN na + nb - c = 0 THEN 0.0 ELSE c / (na + nb - c) END, 6) AS jaccard, round(CASE WHEN na + nb = 0 THEN 0.0 ELSE 2 * c / (na + nb) END, 6) AS dice,
+SELECT ordinal, round(CASE WHEN na + nb - c = 0 THEN 0.0 ELSE c / (na + nb - c) END, 6) AS jaccard, round(CASE WHEN na + nb = 0 THEN 1.0 ELSE 2 * c / (na + nb) END, 6) AS dice,
 round(CASE WHEN least(na, nb) = 0 THEN 0.0 ELSE c / least(na, nb) END, 6) AS overlap, round(CASE WHEN na = 0 THEN 0.0 ELSE c / na END, 6) AS containment FROM n""",
-    "q_jaro_winkler": "WITH j AS (SELECT p_partkey, p_name, p_type, jaro_similarity(p_name, p_type) AS j FROM part) SELECT p_partkey, round(j, 6) AS jaro, round(j + (1 - j) * 0.1 * (CASE WHEN left(p_name, 1) = left(p_type, 1) THEN 1 ELSE 0 END + CASE WHEN left(p_name, 2) = left(p_type, 2) AND length(p_name) > 1 THEN 1 ELSE 0 END + CASE WHEN left(p_name, 3) = left(p_type, 3) AND length(p_name) > 2 THEN 1 ELSE 0 END + CASE WHEN left(p_name, 4) = left(p_type, 4) AND length(p_name) > 3 THEN 1 ELSE 0 END), 6) AS jaro_winkler FROM j",
+    "q_jaro_winkler": "WITH j AS (SELECT p_partkey, p_name, p_type, jaro_similarity(p_name, p_type) AS j, jaro_similarity(lower(p_name), lower(p_type)) AS k, lower(p_name) AS a, lower(p_type) AS b FROM part) SELECT p_partkey, round(j, 6) AS jaro, round(k + (1 - k) * 0.1 * (CASE WHEN left(a, 1) = left(b, 1) THEN 1 ELSE 0 END + CASE WHEN left(a, 2) = left(b, 2) AND length(a) > 1 THEN 1 ELSE 0 END + CASE WHEN left(a, 3) = left(b, 3) AND length(a) > 2 THEN 1 ELSE 0 END + CASE WHEN left(a, 4) = left(b, 4) AND length(a) > 3 THEN 1 ELSE 0 END), 6) AS jaro_winkler FROM j",
 }
 _NAMED = (q_canonical_urls, q_filter_reasons, q_first_of_page, q_select_antijoin, q_rank_score, q_ranked_stories, q_capped_topk, q_story_clusters, q_set_similarity, q_edit_distance, q_jaro_winkler)
 QUERIES = {f.__name__: f for f in _NAMED}
