@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.session import cut
 
 
 def bucket_counts(events: DataFrame, term: str, ts: str, minutes: int) -> DataFrame:
@@ -62,14 +61,38 @@ def heat(events: DataFrame, term: str, ts: str, now: str, half_life: float = 240
 def bursts(events: DataFrame, term: str, ts: str, now: str, window: int = 180, bucket: int = 30, least: int = 2) -> DataFrame:
     """(term, score, recent) of the terms that burst now, on smoothed buckets."""
     recent = events.filter(F.unix_timestamp(ts) >= F.unix_timestamp(F.lit(now).cast("timestamp")) - 60 * window).groupBy(F.col(term).alias("term")).agg(F.count(F.lit(1)).alias("recent")).filter(F.col("recent") >= least)
-    rows = series_of(bucket_counts(events, term, ts, bucket)).join(recent, "term")
-    # The smoothed series is written out: as an expression it would be evaluated anew within every later fold.
-    rows, s = cut(rows.withColumn("s", smoothed(F.col("values"))), "smoothed"), F.col("s")
-    rows = rows.withColumn("z", z_score(s)).withColumn("v", velocity(s)).withColumn("base", (_sum(F.col("values")) - F.element_at("values", -1)) / F.greatest(F.size("values") - 1, F.lit(1)))
-    total = 0.45 * F.least(F.lit(1.0), F.col("recent") / 6) + 0.30 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("z")) / 3) + 0.15 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("v"))) + 0.10 * F.when(F.col("recent") > 2 * F.col("base"), 1.0).otherwise(0.0)
+    rows = series_of(bucket_counts(events, term, ts, bucket)).join(recent, "term").withColumn("m", smoothed_moments(F.col("values")))
+    z, v = _z_of(F.col("m")), _velocity_of(F.col("m"))
+    base = (_sum(F.col("values")) - F.element_at("values", -1)) / F.greatest(F.size("values") - 1, F.lit(1))
+    total = 0.45 * F.least(F.lit(1.0), F.col("recent") / 6) + 0.30 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), z) / 3) + 0.15 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), v)) + 0.10 * F.when(F.col("recent") > 2 * base, 1.0).otherwise(0.0)
     return rows.select("term", total.alias("score"), "recent")
 
 
+def smoothed_moments(values: Column, alpha: float = 0.35) -> Column:
+    """Of the smoothed series, in one pass: how long it is (n), its last four values (a, b, c, d, the last being d), and the sum and the sum of
+    squares of all but the last."""
+    zero = F.struct(F.lit(0).alias("n"), *[F.lit(0.0).alias(x) for x in ("a", "b", "c", "d", "sum", "squares")])
+
+    def step(m: Column, x: Column) -> Column:
+        new = F.when(m["n"] == 0, x).otherwise(alpha * x + (1 - alpha) * m["d"])
+        return F.struct((m["n"] + 1).alias("n"), m["b"].alias("a"), m["c"].alias("b"), m["d"].alias("c"), new.alias("d"), F.when(m["n"] == 0, 0.0).otherwise(m["sum"] + m["d"]).alias("sum"), F.when(m["n"] == 0, 0.0).otherwise(m["squares"] + m["d"] * m["d"]).alias("squares"))
+
+    return F.aggregate(values, zero, step)
+
+
+def _z_of(m: Column) -> Column:
+    n = m["n"] - 1
+    mean = m["sum"] / F.greatest(n, F.lit(1))
+    dev = F.sqrt(F.greatest(F.lit(0.0), m["squares"] / F.greatest(n, F.lit(1)) - mean * mean))
+    return F.when(n < 1, F.lit(0.0)).otherwise((m["d"] - mean) / F.when(dev > 1e-9, dev).otherwise(1.0))
+
+
+def _velocity_of(m: Column) -> Column:
+    """Mean of the last four (or fewer) weighted 1, 2, 4, 8 minus their plain mean."""
+    last = F.slice(F.array(m["a"], m["b"], m["c"], m["d"]), F.greatest(F.lit(5) - m["n"], F.lit(1)), F.lit(4))
+    return velocity(last)
+
+
 def breaking(events: DataFrame, term: str, ts: str, now: str, window: int = 120, least: int = 3, share: float = 0.6) -> DataFrame:
     """(term, mentions, total) of terms most of whose mentions are recent."""
     late = F.unix_timestamp(ts) >= F.unix_timestamp(F.lit(now).cast("timestamp")) - 60 * window

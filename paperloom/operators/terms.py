@@ -35,15 +35,25 @@ def tfidf(counts: DataFrame, idfs: DataFrame) -> DataFrame:
     return counts.join(idfs, "token").withColumn("tfidf", (1 + F.log("n")) * F.col("idf"))
 
 
-def bm25(counts: DataFrame, idfs: DataFrame, query: list[str], key: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(key, score) of the documents that hold a query term; a term named twice counts twice."""
-    spark = counts.sparkSession
-    terms = spark.createDataFrame([(t, query.count(t)) for t in sorted(set(query))], "token string, times int")
-    lengths = counts.groupBy(key).agg(F.sum("n").alias("length"))
-    mean = lengths.agg(F.avg("length").alias("mean"))
-    hits = counts.join(F.broadcast(terms), "token").join(idfs.select("token", "idf"), "token").join(lengths, key).crossJoin(mean)
+def bm25(docs: DataFrame, query: list[str], key: str, text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """(key, score) of the documents that hold a query term; a term named twice counts twice.
+
+    The query's terms are counted in each text's tokens as they are read: nothing but their document frequencies, the number of documents
+    and the mean length (of those with tokens) is shuffled.
+    """
+    terms = sorted(set(query))
+    w = docs.select(F.col(key), X.words(F.col(text)).alias("w"))
+    tf = [F.size(F.filter("w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
+    counted = w.select(key, F.size("w").alias("length"), *tf)
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    rows = counted.filter(F.greatest(F.lit(0), F.lit(0), *[F.col(f"tf{i}") for i in range(len(terms))]) > 0).crossJoin(F.broadcast(stats))  # one row
     norm = k1 * (1 - b + b * F.col("length") / F.col("mean"))
-    return hits.groupBy(key).agg(F.sum(F.col("times") * F.col("idf") * F.col("n") * (k1 + 1) / (F.col("n") + norm)).alias("score"))
+    part = lambda i, t: query.count(t) * (F.log((F.col("n") + 1.0) / (F.col(f"df{i}") + 1)) + 1) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + norm)
+    return rows.select(key, sum((part(i, t) for i, t in enumerate(terms)), F.lit(0.0)).alias("score"))
+
+
+def _equals(term: str):
+    return lambda x: x == term
 
 
 def cooccurrence(tokens: DataFrame, key: str, window: int = 5) -> DataFrame:

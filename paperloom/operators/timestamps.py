@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
+import zoneinfo
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta, timezone
@@ -255,7 +256,7 @@ def parse_batch(texts: list, zones: list, month_first: list, tables: ZoneTables)
     out = np.full(n, _NONE, np.int64)
     groups: dict[str, list[tuple[int, str]]] = {}
     for i, raw in enumerate(texts):
-        if not raw or len(raw) > 80:  # no known form is longer
+        if not raw:
             continue
         s = _SPACE.sub(" ", unicodedata.normalize("NFC", raw)).strip().lower()
         if s:
@@ -375,7 +376,7 @@ def with_clock(df: DataFrame, feeds: DataFrame, source: str = "source") -> tuple
     rows whose source is null or unknown get no zone. The zones collected are at most the database's own names.
     """
     one = feeds.filter(F.col("name").isNotNull()).groupBy(F.col("name").alias("_feed")).agg(F.min("tz").alias("clock_zone"), F.max(F.coalesce(F.col("region") == "US", F.lit(False))).alias("month_first"))
-    names = [r[0] for r in feeds.select("tz").filter(F.length("tz") < 64).distinct().limit(2000).collect() if r[0]]
+    names = [r[0] for r in feeds.select("tz").filter(F.col("tz").isin(*sorted(zoneinfo.available_timezones()))).distinct().collect()]
     joined = df.join(one, F.col(source) == F.col("_feed"), "left").drop("_feed")
     return joined, ZoneTables.build(names)
 

@@ -10,43 +10,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Query vectors that meet the rows of a task at once.
-BLOCK = 512
+#: Bytes of query vectors that are sent to the tasks at once; more queries go in as many blocks as they fill.
+BLOCK_BYTES = 64 << 20
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, key: str, embedding: str, k: int) -> DataFrame:
     """(query, neighbour, cosine): the k nearest rows of each stated query, the query itself left out, exactly.
 
-    Queries are grouped into blocks; each block is matched against each partition of rows, which keeps its own k best
-    of each query; these few meet for the final order.
+    The queries are counted; a block of BLOCK_BYTES of them at most goes to the tasks at once, each of which multiplies its rows, as they
+    are read, with the block, and keeps the k best of each query. Only these are shuffled for the final order.
     """
-    blocks = queries.select(F.col(key).alias("q"), F.col(embedding).alias("v")).withColumn("block", F.pmod(F.xxhash64("q"), F.lit(64))).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("q", "v"))).alias("qs"))
-    rows = vectors.select(F.col(key).alias("r"), F.col(embedding).alias("v")).withColumn("part", F.pmod(F.xxhash64("r"), F.lit(256))).groupBy("part").agg(F.sort_array(F.collect_list(F.struct("r", "v"))).alias("rs"))
+    q = queries.select(F.col(key).alias("q"), F.col(embedding).alias("v"))
+    told = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    blocks = max(1, -(-told["n"] * (told["d"] or 1) * 8 // BLOCK_BYTES))
+    rows = vectors.select(F.col(key).alias("r"), F.col(embedding).alias("v"))
     schema = T.StructType([T.StructField("query", vectors.schema[key].dataType), T.StructField("neighbour", vectors.schema[key].dataType), T.StructField("cosine", T.DoubleType())])
+    found = None
+    for block in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == block).toPandas()  # a block's size at most, about
+        if not len(part):
+            continue
+        ids, unit = part["q"].to_numpy(np.int64), _unit(np.stack(part["v"].to_numpy()).astype(np.float64))
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, unit))
+        one = rows.mapInArrow(_best(shared, k, schema.names), schema)
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = rows.sparkSession.createDataFrame([], schema)
+    order = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "neighbour")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
-    def unit(x: list) -> np.ndarray:
-        m = np.asarray(x, np.float64)
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(n == 0, 1, n)
 
+def _best(shared, k: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, unit = shared.value
+        best = np.full((len(ids), k), -2.0)
+        whose = np.zeros((len(ids), k), np.int64)
         for b in batches:
-            out: list[tuple] = []
-            for qs, rs in zip(b.column("qs").to_pylist(), b.column("rs").to_pylist()):
-                ids = np.array([r["r"] for r in rs])
-                m = unit([r["v"] for r in rs])
-                for lo in range(0, len(qs), BLOCK):
-                    part = qs[lo : lo + BLOCK]
-                    like = unit([q["v"] for q in part]) @ m.T
-                    for q, s in zip(part, like):
-                        s[ids == q["q"]] = -2
-                        top = np.argsort(-s, kind="stable")[:k]
-                        out += [(q["q"], int(ids[i]), float(s[i])) for i in top if s[i] > -2]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64()))] if out else [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=schema.names)
-
-    found = blocks.crossJoin(rows).select("qs", "rs").mapInArrow(run, schema)
-    order = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "neighbour")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+            if not b.num_rows:
+                continue
+            own = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            like = unit @ _unit(flat.reshape(b.num_rows, -1)).T
+            like[ids[:, None] == own[None, :]] = -2
+            every, theirs = np.hstack([best, like]), np.hstack([whose, np.broadcast_to(own, like.shape)])
+            # Of equal cosines the least key stays, whatever the batches.
+            order = np.lexsort((theirs, -every), axis=1)[:, :k]
+            best, whose = np.take_along_axis(every, order, 1), np.take_along_axis(theirs, order, 1)
+        at = np.nonzero(best > -2)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at[0]]), pa.array(whose[at]), pa.array(best[at])], names=names)
+
+    return run
 
 
 def kmeans(vectors: DataFrame, key: str, embedding: str, k: int, seed: int = 11) -> DataFrame:

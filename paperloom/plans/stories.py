@@ -47,10 +47,13 @@ def q_select_antijoin(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, folder: str) -> DataFrame:
-    i = _items(spark, folder)
-    outlets = i.filter(F.length("fingerprint") > 0).groupBy("fingerprint").agg(F.count_distinct("host").alias("outlets"))
-    j = stories.first_of(i.filter(F.length("fingerprint") > 0), "fingerprint", "ordinal").join(outlets, "fingerprint")
-    return j.withColumn("score", stories.score(F.greatest(F.col("age"), F.lit(0.0)), F.col("feed_weight"), F.col("outlets"), F.col("image").isNotNull(), F.coalesce(F.length("summary"), F.lit(0)), 24.0 * 30))
+    i = table(spark, folder, "items", "ordinal", "title", "host", "category", "published", "summary", "image", "feed_weight").withColumn("fingerprint", stories.fingerprint(F.col("title"))).filter(F.length("fingerprint") > 0)
+    row = F.struct("ordinal", "title", "host", "category", "published", "feed_weight", F.col("image").isNotNull().alias("pictured"), F.coalesce(F.length("summary"), F.lit(0)).alias("summed"))
+    # The first of each outlet, then of each headline: outlets are counted on the way, and no text goes along.
+    per = i.groupBy("fingerprint", "host").agg(F.min_by(row, "ordinal").alias("r"))
+    j = per.groupBy("fingerprint").agg(F.min_by("r", "r.ordinal").alias("r"), F.count("host").alias("outlets")).select("fingerprint", "outlets", "r.*")
+    age = (F.unix_timestamp(F.lit(NOW).cast("timestamp")) - F.unix_timestamp("published")) / 3600.0
+    return j.withColumn("score", stories.score(F.greatest(age, F.lit(0.0)), F.col("feed_weight"), F.col("outlets"), F.col("pictured"), F.col("summed"), 24.0 * 30))
 
 
 def q_rank_score(spark: SparkSession, folder: str) -> DataFrame:

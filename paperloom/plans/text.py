@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
 from paperloom.operators import terms
+from paperloom.session import cut
 from paperloom.sources.tables import table
 
 _WORDS = X.WORD_PATTERN.replace("'", "''")
@@ -54,14 +55,13 @@ def q_idf(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_tfidf(spark: SparkSession, folder: str) -> DataFrame:
     """tf-idf of every term of every document."""
-    counts = _counts(spark, folder)
+    counts = cut(_counts(spark, folder), "term-counts")  # texts are cut into tokens once
     return terms.tfidf(counts, terms.idf(counts, _docs(spark, folder).count())).select("doc_id", "token", F.round("tfidf", 6).alias("tfidf"))
 
 
 def q_bm25(spark: SparkSession, folder: str) -> DataFrame:
     """Documents scored for a search."""
-    counts = _counts(spark, folder)
-    return terms.bm25(counts, terms.idf(counts, _docs(spark, folder).count()), SEARCH, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
+    return terms.bm25(_docs(spark, folder), SEARCH, "doc_id", "text").select("doc_id", F.round("score", 6).alias("score"))
 
 
 def q_bigrams(spark: SparkSession, folder: str) -> DataFrame:

@@ -43,6 +43,8 @@ def shared_root(spark: SparkSession) -> str:
     if app not in _ROOTS:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             named = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         _ROOTS[app] = f"{named.rstrip('/')}/paperloom-{app}"
         atexit.register(_remove, spark, _ROOTS[app])
