@@ -110,6 +110,16 @@ def ranked(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return parts.withColumn("_rank", F.row_number().over(within) - 1).join(offsets, [*key, "_part"]).withColumn("rank", F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
 
 
+def _before(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, uid, pieces) with the column before: the pieces of all rows before each, by parts of the uids, so that the numbers leave no gap
+    and do not grow with the ids."""
+    parts = rows.withColumn("_part", F.pmod(F.xxhash64("uid"), F.lit(RANK_PARTS)).cast("int"))
+    sums = parts.groupBy("_part").agg(F.sum("pieces").alias("_sum"))
+    start = sums.select("_part", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # a row a part
+    own = F.coalesce(F.sum("pieces").over(Window.partitionBy("_part").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.withColumn("_own", own).join(F.broadcast(start), "_part").select("doc_id", "uid", "pieces", (F.col("_start") + F.col("_own")).alias("before"))
+
+
 def pack(lengths: DataFrame, capacities: list[tuple[int, int]], doc_id: str = "doc_id", tokens: str = "tokens") -> DataFrame:
     """(pack_id, container, offset, doc_id, piece, first_token, tokens): where each document lies in containers of each capacity.
 
@@ -147,8 +157,9 @@ def pack(lengths: DataFrame, capacities: list[tuple[int, int]], doc_id: str = "d
         placed = ranked(rows, ["tail"], "uid").select("doc_id", "n", "tail", "rank").mapInArrow(place, schema)
         last = placed.select("doc_id", "container", "offset", ((F.col("n") - F.col("tail")) / capacity).cast("int").alias("piece"), (F.col("n") - F.col("tail")).alias("first_token"), F.col("tail").alias("tokens"))
         # Full pieces need no plan: their containers are numbered by document after those of the plan, counted downwards from -1.
-        whole = rows.filter(F.col("n") > capacity).select("doc_id", "uid", F.explode(F.sequence(F.lit(0), ((F.col("n") - F.col("tail")) / capacity).cast("int") - 1)).alias("piece"))
-        whole = whole.select("doc_id", (-1 - (F.col("uid") * F.lit(1 << 20) + F.col("piece"))).alias("container"), F.lit(0).cast("long").alias("offset"), "piece", (F.col("piece").cast("long") * capacity).alias("first_token"), F.lit(capacity).cast("long").alias("tokens"))
+        long = _before(rows.filter(F.col("n") > capacity).select("doc_id", "uid", ((F.col("n") - F.col("tail")) / capacity).cast("long").alias("pieces")))
+        whole = long.select("doc_id", "before", F.explode(F.sequence(F.lit(0), F.col("pieces").cast("int") - 1)).alias("piece"))
+        whole = whole.select("doc_id", (-1 - (F.col("before") + F.col("piece"))).alias("container"), F.lit(0).cast("long").alias("offset"), "piece", (F.col("piece").cast("long") * capacity).alias("first_token"), F.lit(capacity).cast("long").alias("tokens"))
         one = last.unionByName(whole).select(F.lit(pack_id).alias("pack_id"), "container", "offset", "doc_id", "piece", "first_token", "tokens")
         out = one if out is None else out.unionByName(one)
     if out is None:

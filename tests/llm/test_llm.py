@@ -292,6 +292,12 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), [(1, 64)]).count() == 0
 
 
+def test_full_pieces_are_numbered_without_gaps(spark):
+    rows = spark.createDataFrame([(i, (1 << 50) + (i << 33), i % 4 + 1) for i in range(50)], "doc_id long, uid long, pieces long")
+    got = packing._before(rows).collect()
+    assert sorted(n for r in got for n in range(r.before, r.before + r.pieces)) == list(range(sum(i % 4 + 1 for i in range(50))))
+
+
 @pytest.mark.skipif(not os.path.exists(tokens.VOCABULARY), reason="needs the tokenizer's vocabulary")
 def test_token_counts(spark):
     df = spark.createDataFrame([(1, "Hello world, hello.", "x"), (2, None, None), (3, "", None), (4, LONG, None)], "doc_id int, text string, tokens string")
