@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import functools
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +49,12 @@ _BRACKETS = "\"“”„«»()[]{}<>|"
 _STRIP = ".,;:!?…।'’‘-–—/&#*"
 
 
+def _key(text: str) -> int:
+    """A signed 64-bit key."""
+    h = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return h - (1 << 64) if h >> 63 else h
+
+
 @functools.lru_cache(maxsize=1 << 16)
 def _token(t: str) -> str:
     if any(c.isdigit() for c in t):
@@ -68,7 +74,7 @@ def head(fragment: str) -> str:
 def openings(told: str) -> list[int]:
     """Keys of the first one to OPENING tokens of a head; that of a single token is of the token as it stands."""
     first, *masked = told.split(" ") if told else [""]
-    return [zlib.crc32((first if n == 1 else " ".join(masked[:n])).encode()) for n in range(1, len(masked) + 1)]
+    return [_key(first if n == 1 else " ".join(masked[:n])) for n in range(1, len(masked) + 1)]
 
 
 def words_of(text: str) -> list[str]:
@@ -139,7 +145,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 evidence = PROPER
             toks = [_token(t) for t in _TOKEN.findall(fragment)]
             second = len(toks) > 1 and toks[1][:1] not in ("N", "0")
-            rows.append((ENDING, doc, source, chars, len(toks), inline, second, PROPER if stub else evidence, final.strip(_STRIP) or None, zlib.crc32(" ".join(toks).encode()), len(keys), keys, None, None, None, None, None))
+            rows.append((ENDING, doc, source, chars, len(toks), inline, second, PROPER if stub else evidence, final.strip(_STRIP) or None, _key(" ".join(toks)), len(keys), keys, None, None, None, None, None))
         vocabulary: Counter = Counter()
         for w, n in raw.items():
             for x in words_of(w):
