@@ -110,13 +110,14 @@ def without_repeats(df: DataFrame, row_id: str = "row_id", source: str = "source
     source are left as they are; a text of nothing but repeated lines becomes empty. Rows that stand twice are
     counted as two and both cleaned. Columns of df named clean_text or lines_removed are replaced.
     """
-    marks = cut(excessive(df, row_id, source, text, **limits), "excess")
-    # A source has at most (lines of a row / min_share) such forms, so that they fit one cell beside each of its rows.
-    per_source = marks.groupBy("source").agg(F.collect_set("key").alias("_marked")).withColumnRenamed("source", "_source")
-    plain = df.drop("clean_text", "lines_removed")
-    joined = plain.join(per_source, F.col(source) == F.col("_source"), "left")
+    marks = cut(excessive(df, row_id, source, text, **limits), "excess").select(F.col("source").alias("_source"), F.col("key").alias("_key"))
+    base = cut(df.drop("clean_text", "lines_removed").withColumn("_uid", F.monotonically_increasing_id()), "texts")
     parts = F.split(F.col(text), "\n")
-    kept = F.filter(parts, lambda x: ~F.coalesce(F.array_contains(F.col("_marked"), _key(form(x))) & (form(x) != ""), F.lit(False)))
-    out = joined.withColumn("_kept", F.when(F.col("_marked").isNull(), parts).otherwise(kept))
-    out = out.withColumn("clean_text", F.array_join("_kept", "\n")).withColumn("lines_removed", F.when(F.col(text).isNull(), 0).otherwise(F.size(parts) - F.size("_kept")))
-    return out.drop("_kept", "_marked", "_source")
+    each = base.filter(F.col(source).isNotNull()).select("_uid", F.col(source).alias("_source"), F.posexplode(parts).alias("_pos", "_line")).withColumn("_key", _key(form(F.col("_line"))))
+    kept = each.join(marks, ["_source", "_key"], "left_anti")
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_line"))), lambda x: x["_line"])
+    again = kept.groupBy("_uid").agg(F.array_join(rows, "\n").alias("_text"), F.count(F.lit(1)).alias("_kept"))
+    out = base.join(again, "_uid", "left")
+    judged = F.col(text).isNotNull() & F.col(source).isNotNull()
+    out = out.withColumn("clean_text", F.when(judged, F.coalesce("_text", F.lit(""))).otherwise(F.col(text))).withColumn("lines_removed", F.when(judged, F.size(parts) - F.coalesce("_kept", F.lit(0)).cast("int")).otherwise(0))
+    return out.drop("_text", "_kept", "_uid")
