@@ -139,7 +139,8 @@ def strip_markdown(text: Column) -> Column:
 
 def hours_since(ts: Column, now: Column) -> Column:
     """Age in hours, never below 0; no time is a thousand million hours old."""
-    return F.coalesce(F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(ts)) / 3.6e9), F.lit(1e9))
+    age = (F.unix_micros(now) - F.unix_micros(ts)) / 3.6e9
+    return F.when(age.isNull(), F.lit(1e9)).otherwise(F.greatest(F.lit(0.0), age))
 
 
 def local_minutes(ts: Column, zone: str) -> Column:

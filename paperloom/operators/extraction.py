@@ -270,14 +270,14 @@ def articles(pages: DataFrame, key: str, url: str, markup: str) -> DataFrame:
     """(key, title, text, author, published, modified, sitename, description, language, canonical, keywords, paragraphs, paywalled) of HTML
     pages. Each field takes the first source that tells: structured data, meta tags, the page itself. Null and empty
     pages give no rows."""
-    p = parsed(pages.select(key, url, markup, F.lower(F.substring(markup, 1, 200_000)).rlike(WALLS).alias("walled")), markup).filter(F.col("parts").isNotNull())
+    p = parsed(pages.select(key, url, markup, F.lower(markup).rlike(WALLS).alias("walled")), markup).filter(F.col("parts").isNotNull())
     at = lambda m, *names: F.coalesce(*[F.nullif(F.trim(F.try_element_at(F.col(f"parts.{m}"), F.lit(n))), F.lit("")) for n in names], F.lit(""))
     first = lambda *cs: F.coalesce(*[F.nullif(c, F.lit("")) for c in cs], F.lit(""))
     long = lambda ps: F.filter(ps, lambda x: (X.word_count(x) >= PARAGRAPH) & ~x.rlike("(?i)cookie|subscribe|newsletter|sign up|advertis"))
     own = F.array_join(F.when(F.size("parts.inside") > 0, long(F.col("parts.inside"))).otherwise(long(F.col("parts.outside"))), "\n")
     p = p.withColumn("own", own).withColumn("body", at("node", "body"))
     text = F.when((X.word_count(F.col("own")) < ENOUGH) & (X.word_count(F.col("body")) > X.word_count(F.col("own"))), F.col("body")).otherwise(F.col("own"))
-    words = F.when(F.size("parts.keywords") > 0, F.col("parts.keywords")).otherwise(F.filter(F.transform(F.split(at("meta", "news_keywords", "keywords"), ","), F.trim), lambda w: w != ""))
+    words = F.when(F.size("parts.keywords") > 0, F.col("parts.keywords")).otherwise(F.filter(F.transform(F.split(at("meta", "news_keywords", "keywords"), ","), lambda w: F.trim(w)), lambda w: w != ""))
     out = p.select(
         key, first(at("node", "headline"), at("meta", "og:title", "twitter:title"), F.col("parts.title")).alias("title"), clean_text(text).alias("text"), first(at("node", "author"), at("meta", "author", "article:author")).alias("author"),
         first(at("node", "published"), at("meta", "article:published_time")).alias("published"), first(at("node", "modified"), at("meta", "article:modified_time", "og:updated_time")).alias("modified"), at("meta", "og:site_name", "application-name").alias("sitename"),
