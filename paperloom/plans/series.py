@@ -72,7 +72,7 @@ def q_consecutive_failures(spark: SparkSession, folder: str) -> DataFrame:
 
 def q_quota_by_day(spark: SparkSession, folder: str) -> DataFrame:
     """Uses by local day, three days kept."""
-    return series.quota_days(_events(spark, folder), "event_type", "ts", "America/Los_Angeles")
+    return series.quota_days(_events(spark, folder), "event_type", "ts", "America/Los_Angeles").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 def q_queue_tail(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,6 +102,7 @@ g AS (SELECT term, b AS bucket FROM (SELECT DISTINCT event_type AS term FROM eve
 f AS (SELECT g.term, g.bucket, coalesce(c.n, 0) AS n FROM g LEFT JOIN c ON g.term = c.term AND g.bucket = c.bucket),
 r AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY bucket DESC) AS k FROM f)"""
 ORACLES = {
+    "q_quota_by_day": "WITH d AS (SELECT event_type AS name, CAST(timezone('America/Los_Angeles', timezone('UTC', ts)) AS DATE) AS day, count(*) AS used FROM events GROUP BY 1, 2) SELECT name, CAST(day AS VARCHAR) AS day, used FROM d QUALIFY row_number() OVER (PARTITION BY name ORDER BY d.day DESC) <= 3",
     "q_bucket_counts": f"WITH {_GRID} SELECT term, bucket, n FROM f",
     "q_zscore": f"WITH {_GRID}, p AS (SELECT term, avg(n) FILTER (WHERE k > 1) AS m, stddev_pop(n) FILTER (WHERE k > 1) AS d, max(n) FILTER (WHERE k = 1) AS last FROM r GROUP BY term) SELECT term, round((last - m) / CASE WHEN d > 1e-12 THEN d ELSE 1.0 END, 6) AS z FROM p",
     "q_velocity": f"WITH {_GRID} SELECT term, round(sum(n * pow(2, 4 - k)) FILTER (WHERE k <= 4) / 15.0 - avg(n) FILTER (WHERE k <= 4), 6) AS velocity, CAST(sum(CASE k WHEN 1 THEN n WHEN 2 THEN -2 * n WHEN 3 THEN n END) AS DOUBLE) AS acceleration FROM r GROUP BY term",

@@ -121,6 +121,9 @@ scored AS (SELECT f.*, outlets, 50 * pow(0.5, coalesce(greatest(age, 0.0), CASE
 _PAIRS = f"i AS (SELECT ordinal, {_PAGE} AS page, title FROM items WHERE title IS NOT NULL), o AS (SELECT page, min(ordinal) AS first FROM i GROUP BY page), p AS (SELECT i.ordinal, a.title AS ta, i.title AS tb FROM i JOIN o USING (page) JOIN i a ON a.ordinal = o.first WHERE i.ordinal > o.first)"
 
 ORACLES = {
+    "q_filter_reasons": rf"""WITH i AS (SELECT *, len(regexp_extract_all(title, '\p{{L}}')) AS letters, len(regexp_extract_all(title, '[^\P{{L}}\x{{0000}}-\x{{024F}}]')) AS alien FROM items WHERE title IS NOT NULL)
+SELECT CASE WHEN len(regexp_extract_all(title, '[\p{{L}}\p{{N}}_][\p{{L}}\p{{M}}\p{{N}}_''’\-]*')) < 4 THEN 'too few words' WHEN regexp_matches(lower(title), '{"|".join(BLOCKED)}') THEN 'blocked word' WHEN regexp_matches(lower(title), '^\s*(?:watch|listen)\s*:|\bpodcast\b|\bsponsored\b|\bwebinar\b') THEN 'listing'
+WHEN NOT coalesce(regexp_matches(trim(url), '^https?://[^/?#\s]+'), false) THEN 'address' WHEN (epoch(TIMESTAMPTZ '{NOW}+00') - floor(epoch(published))) / 3600.0 > 24.0 * 365 THEN 'too old' WHEN letters = 0 OR alien * 5 >= letters THEN 'not English' ELSE 'kept' END AS reason, count(*) AS items FROM i GROUP BY 1""",
     "q_canonical_urls": f"SELECT ordinal, {_PAGE} AS page, {_HOST} AS site, substr(sha1({_PAGE}), 1, 16) AS key, regexp_matches(trim(url), '^https?://[^/?#\\s]+') AS web FROM items",
     "q_first_of_page": f"WITH i AS (SELECT {_PAGE} AS canonical_key, ordinal, title FROM items) SELECT canonical_key, ordinal, title FROM i QUALIFY row_number() OVER (PARTITION BY canonical_key ORDER BY ordinal) = 1",
     "q_select_antijoin": f"WITH i AS (SELECT ordinal, batch_no, {_PAGE} AS page, {_FP} AS fp FROM items WHERE title IS NOT NULL) SELECT ordinal FROM i WHERE batch_no > 0 AND page NOT IN (SELECT page FROM i WHERE batch_no = 0) AND fp NOT IN (SELECT fp FROM i WHERE batch_no = 0)",
