@@ -78,7 +78,8 @@ def kmeans(vectors: DataFrame, key: str, embedding: str, k: int, seed: int = 11)
 
 
 def topics(tokens: DataFrame, key: str, k: int = 8, vocabulary: int = 2000, seed: int = 17) -> DataFrame:
-    """(key, topic, share): the strongest topic of each document by online LDA on content words."""
+    """(key, topic, share): the strongest topic of each document by online LDA on content words. Its batches are drawn by
+    partition, so topics and their numbers depend on the partitioning; a document without words of the vocabulary has an even share."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
     from pyspark.ml.functions import vector_to_array
