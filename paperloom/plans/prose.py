@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators import pages, prose, terms
+from paperloom.operators import pages, prose, sanitizing, terms
 from paperloom.sources.tables import table
 
 
@@ -65,6 +65,11 @@ def q_audit(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("draft_id", pages.unbalanced(b).cast("bigint").alias("unbalanced"), pages.duplicate_ids(b).cast("bigint").alias("repeated_ids"), F.length("headline").cast("bigint").alias("headline_chars"), F.coalesce(F.length("meta_description"), F.lit(0)).cast("bigint").alias("meta_chars"), F.length(pages.plain(b)).cast("bigint").alias("text_chars"))
 
 
+def q_sanitized(spark: SparkSession, folder: str) -> DataFrame:
+    """Drafts as safe markup."""
+    return _drafts(spark, folder).select("draft_id", sanitizing.sanitize(F.col("body_html")).alias("body"))
+
+
 _BALANCE = " + ".join(f"abs(len(regexp_extract_all(body_html, '<{t}(?:\\s[^>]*)?>')) - len(regexp_extract_all(body_html, '</{t}>')))" for t in pages.PAIRED)
 ORACLES = {
     "q_headings": "SELECT draft_id, CAST(2 AS INTEGER) AS level, unnest(regexp_extract_all(body_html, '(?i)<h2[^>]*>([^<]*)</h2>', 1)) AS heading FROM drafts UNION ALL SELECT draft_id, 3, unnest(regexp_extract_all(body_html, '(?i)<h3[^>]*>([^<]*)</h3>', 1)) FROM drafts",
@@ -72,5 +77,5 @@ ORACLES = {
     "q_audit": f"""SELECT draft_id, CAST({_BALANCE} AS BIGINT) AS unbalanced, CAST(len(regexp_extract_all(body_html, '\\sid="([^"]*)"', 1)) - len(list_distinct(regexp_extract_all(body_html, '\\sid="([^"]*)"', 1))) AS BIGINT) AS repeated_ids,
 length(headline) AS headline_chars, coalesce(length(meta_description), 0) AS meta_chars, length(trim(regexp_replace(regexp_replace(body_html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text_chars FROM drafts WHERE body_html IS NOT NULL""",
 }
-_NAMED = (q_sentences, q_quotes, q_names, q_sentiment, q_summaries, q_stems, q_headings, q_links, q_audit)
+_NAMED = (q_sentences, q_quotes, q_names, q_sentiment, q_summaries, q_stems, q_headings, q_links, q_audit, q_sanitized)
 QUERIES = {f.__name__: f for f in _NAMED}
