@@ -1,15 +1,17 @@
 """Page boilerplate: which paragraphs of a page belong to its story.
 
 1. Host suffix array. The paragraphs of a page make one token stream, with a mark at the end of each. Suffixes of the
-   streams start at the mark before a line and at each of its tokens but the first, and in running prose at the mark
-   before a paragraph, at sentences, and after every STEP tokens of one; each is kept to its first tokens behind the
-   key of its host (DEPTH, in lines LINE_DEPTH: longer substrings are those whose suffixes follow one another). All are
+   streams start at the mark before a line and at each of its tokens but the first; each is kept to its first LINE_DEPTH
+   tokens behind the key of its host (longer substrings are those whose suffixes follow one another). All are
    range-sorted, so that equal beginnings lie side by side; neighbours give the longest beginning of each suffix that
    stands on REPEATED pages, across the borders of the sorted ranges too. Tokens that such substrings cover, line ends
    crossed, are repeated text.
 2. Long running prose is no exception: covered by substrings of LONG tokens that stand under REPEATED headlines it is a
    notice, a legal text or an author's note, and goes. Stories share short phrases, so that shorter substrings tell nothing
-   there. Prose that is not covered is a unique run and stays.
+   there. Prose that is not covered is a unique run and stays. As in lines, a token is covered if a repeated substring
+   starts at it, and every token is looked at. The substring of LONG tokens there goes by the GRAM tokens of it with the
+   least hash, which are the same in equal substrings, and is counted among those that have these in common. Where they
+   stand under fewer headlines, no substring with them can be repeated.
 3. Lines are short and vary from page to page. Covered ones, and bare lines outside the pages' cores of unique prose,
    teach a model of tokens and pairs of them what page parts look like; unique prose and uncovered lines within the
    cores teach it stories. It decides the lines. A page all of whose prose has words of notices has no unique prose.
@@ -35,16 +37,16 @@ from paperloom.llm import streams
 from paperloom.llm.encodings import quick, suspicious
 from paperloom.session import cut
 
-#: Tokens of a suffix that are kept; tokens a repeated substring of lines has at least, and of prose. A substring that
-#: runs to the end of its line may be shorter.
-DEPTH, SHORT, LONG = 20, 5, 20
-#: Tokens that are kept of a suffix which starts in a line.
+#: Tokens a repeated substring of lines has at least, and of prose. A substring that runs to the end of its line may be
+#: shorter; in prose, where fewer than SHORT tokens are left, the substring of the last SHORT ones tells.
+SHORT, LONG = 5, 20
+#: Tokens that are kept of a suffix.
 LINE_DEPTH = 6
+#: Tokens of a substring of prose that it goes by.
+GRAM = 8
 #: Different pages of a host (headlines, for prose) that a repeated substring must be found on. Told by the least, the
 #: greatest and another one, so that it is three.
 REPEATED = 3
-#: Tokens of a sentence of prose after which another suffix starts, fewer than DEPTH.
-STEP = 16
 #: Share of a paragraph of prose, and of a line, that repeated substrings must cover. Names are not masked in prose:
 #: stories of one pattern differ in their names, notices don't.
 STANDING, COVERED = 0.9, 0.5
@@ -66,11 +68,11 @@ BITS = 20
 BUCKETS = 1 << BITS
 #: Order of a suffix's bytes as they are sorted: two tokens stand amid the host's key, so that the eight bytes which a sort
 #: compares first tell suffixes of one host apart. Suffixes with two tokens in common still lie by host.
-_SENT = np.array([0, 1, 2, 3, 8, 9, 10, 11, 4, 5, 6, 7, *range(12, 8 + 2 * DEPTH)])
+_SENT = np.array([0, 1, 2, 3, 8, 9, 10, 11, 4, 5, 6, 7, *range(12, 8 + 2 * LINE_DEPTH)])
 #: Bytes of pages that are taken at once.
 BATCH = 3 << 20
-#: Rows of a sorted range that are held against each other at once.
-CHUNK = 100_000
+#: Rows of a sorted range that are held against each other at once. Rows of one key beyond CROWD are left to Spark.
+CHUNK, CROWD = 100_000, 1_000_000
 
 _CLOSERS = "”\"»’) \t\r\n\xa0"
 _SENTENCE = re.compile(r"(?<=[.!?।])[”\"»’)]*\s+")
@@ -87,10 +89,11 @@ PARAGRAPH, COUNTS, HEADLINES = 0, 1, 2
 PLAIN, TEMPLATE_IN, TEMPLATE_ONLY, FILLED, EMPTY, NOTICED = 0, 1, 2, 3, 4, 5
 
 _ANCHOR = T.StructType([T.StructField("suffix", T.BinaryType()), T.StructField("gap", T.IntegerType()), T.StructField("room", T.IntegerType()), T.StructField("rest", T.IntegerType())])
+_GRAM = T.StructType([T.StructField("key", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("marks", T.BinaryType())])
 _PASS = T.StructType([
     T.StructField("kind", T.ByteType()), T.StructField("uid", T.LongType()), T.StructField("page_id", T.LongType()), T.StructField("par_no", T.IntegerType()), T.StructField("line", T.LongType()), T.StructField("size", T.IntegerType()),
     T.StructField("zone", T.ByteType()), T.StructField("ends", T.BooleanType()), T.StructField("bare", T.BooleanType()), T.StructField("mark", T.ByteType()), T.StructField("prose", T.BooleanType()), T.StructField("who", T.LongType()), T.StructField("sent", T.BooleanType()),
-    T.StructField("feats", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("anchors", T.ArrayType(_ANCHOR)),
+    T.StructField("feats", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("anchors", T.ArrayType(_ANCHOR)), T.StructField("grams", T.ArrayType(_GRAM)),
 ])
 _ARROW = {"kind": pa.int8(), "uid": pa.int64(), "page_id": pa.int64(), "par_no": pa.int32(), "line": pa.int64(), "size": pa.int32(), "zone": pa.int8(), "ends": pa.bool_(), "bare": pa.bool_(), "mark": pa.int8(), "prose": pa.bool_(), "who": pa.int64(), "sent": pa.bool_()}
 
@@ -237,7 +240,7 @@ def _pass_batch(b: pa.RecordBatch, base: int, shingled: bool) -> pa.RecordBatch:
     m_key, m_text, m_fresh, m_prose = masked[mine], tok.text[mine], tok.fresh[mine], of_prose[mine]
     # The stream: prose as it stands, lines masked.
     kept = of_prose | mine
-    s_key, s_text, s_fresh = np.where(of_prose, tok.key, masked)[kept], tok.text[kept], tok.fresh[kept]
+    s_key, s_text = np.where(of_prose, tok.key, masked)[kept], tok.text[kept]
     s_size = np.bincount(s_text, minlength=n)
     host = np.array([_hash64(x or "") for x in names], np.uint64)
     line = streams.sequence_keys(s_key, s_text, n)
@@ -246,9 +249,10 @@ def _pass_batch(b: pa.RecordBatch, base: int, shingled: bool) -> pa.RecordBatch:
     uid = base + np.arange(len(names))
     who = np.where(prose, heads[page].view(np.int64), uid[page]) if n else np.empty(0, np.int64)
     sent = _first_of(line, who)
-    anchors = _anchors(s_key, s_text, s_fresh, prose, page, host, sent)
-    # Features of lines that are sent; counts of prose by sentence, and of headlines.
+    # Suffixes and features of lines that are sent, substrings of such prose; counts of prose by sentence, and of headlines.
     told = ~prose & sent
+    anchors = _anchors(s_key, s_text, page, host, told)
+    grams = _grams(tok.key, tok.text, host[page] if n else host, prose & sent)
     of_line = told[m_text] if n else ~m_prose
     asked = np.flatnonzero(told)
     f_key, f_text = _pairs(m_key[of_line], m_text[of_line], asked)
@@ -287,7 +291,7 @@ def _pass_batch(b: pa.RecordBatch, base: int, shingled: bool) -> pa.RecordBatch:
     fields.append(pa.concat_arrays([feats, pa.array([x.tolist() for x in at], pa.list_(pa.int32()))]))
     fields.append(pa.concat_arrays([none, pa.array([said[i][x].tolist() for i, x in enumerate(at)], pa.list_(pa.int32()))]))
     fields.append(pa.concat_arrays([shingles, pa.nulls(2, pa.list_(pa.int64()))]))
-    fields.append(pa.concat_arrays([anchors, pa.nulls(2, anchors.type)]))
+    fields += [pa.concat_arrays([x, pa.nulls(2, x.type)]) for x in (anchors, grams)]
     return pa.RecordBatch.from_arrays(fields, names=_PASS.names)
 
 
@@ -307,21 +311,18 @@ def _first_of(line: np.ndarray, who: np.ndarray) -> np.ndarray:
     return out
 
 
-def _anchors(key: np.ndarray, text: np.ndarray, fresh: np.ndarray, prose: np.ndarray, page: np.ndarray, host: np.ndarray, sent: np.ndarray) -> pa.Array:
-    """Lists, by paragraph that is sent, of the suffixes that start in it: their first tokens behind the host's key, the
-    tokens to the next start or the paragraph's end, those to the paragraph's end, and those to the page's. The mark
-    before a paragraph counts as its first token."""
+def _anchors(key: np.ndarray, text: np.ndarray, page: np.ndarray, host: np.ndarray, sent: np.ndarray) -> pa.Array:
+    """Lists, by line that is sent, of the suffixes that start in it: their first tokens behind the host's key, the
+    tokens to the next start or the line's end, those to the line's end, and those to the page's. The mark before a line
+    counts as its first token."""
     total, n = len(key), len(sent)
     k = np.arange(total)
-    # Place in the stream: a mark before each page and after each paragraph, DEPTH marks more after each page.
-    place = k + text + 1 + page[text] * (DEPTH + 1) if n else k
-    stream = np.zeros(total + n + (int(page[-1]) + 1 if n else 0) * (DEPTH + 1) + DEPTH, ">u2")
+    # Place in the stream: a mark before each page and after each paragraph, LINE_DEPTH marks more after each page.
+    place = k + text + 1 + page[text] * (LINE_DEPTH + 1) if n else k
+    stream = np.zeros(total + n + (int(page[-1]) + 1 if n else 0) * (LINE_DEPTH + 1) + LINE_DEPTH, ">u2")
     stream[place] = np.maximum(key >> np.uint64(48), np.uint64(1)).astype(np.uint16)
     begins = np.concatenate([[True], text[1:] != text[:-1]]) if total else np.empty(0, bool)
-    head = begins | fresh
-    since = k - np.maximum.accumulate(np.where(head, k, 0)) if total else k
-    of_prose = prose[text] if n else np.empty(0, bool)
-    chosen = np.flatnonzero((head | ~of_prose | (since % STEP == 0)) & sent[text]) if n else k
+    chosen = np.flatnonzero(sent[text]) if n else k
     par, mark = text[chosen], begins[chosen]
     end = np.searchsorted(text, par, side="right")
     room = end - chosen + mark
@@ -329,20 +330,66 @@ def _anchors(key: np.ndarray, text: np.ndarray, fresh: np.ndarray, prose: np.nda
     gap = np.minimum(after, end) - chosen + mark
     last = np.searchsorted(page, page[par], side="right") - 1 if n else par
     rest = np.searchsorted(text, last, side="right") + last - (chosen + par) + 1 + mark
-    short = ~prose[par] if n else np.empty(0, bool)
-    rest = np.minimum(rest, np.where(short, LINE_DEPTH, DEPTH))
-    data = np.empty((len(chosen), 8 + 2 * DEPTH), np.uint8)
+    width = 8 + 2 * LINE_DEPTH
+    data = np.empty((len(chosen), width), np.uint8)
     if len(chosen):
         data[:, :8] = host[page[par]].astype(">u8").view(np.uint8).reshape(-1, 8)
-        data[:, 8:] = stream[(place[chosen] - mark)[:, None] + np.arange(DEPTH)].view(np.uint8).reshape(-1, 2 * DEPTH)
+        data[:, 8:] = stream[(place[chosen] - mark)[:, None] + np.arange(LINE_DEPTH)].view(np.uint8).reshape(-1, 2 * LINE_DEPTH)
         data = data[:, _SENT]
-    width = np.where(short, 8 + 2 * LINE_DEPTH, 8 + 2 * DEPTH)
-    offsets = np.append(0, np.cumsum(width)).astype(np.int32)
-    suffix = pa.Array.from_buffers(pa.binary(), len(chosen), [None, pa.py_buffer(offsets), pa.py_buffer(data[np.arange(8 + 2 * DEPTH) < width[:, None]].tobytes())])
-    ints = [pa.array(np.minimum(x, 1 << 30).astype(np.int32)) for x in (gap, room, rest)]
+    offsets = (np.arange(len(chosen) + 1) * width).astype(np.int32)
+    suffix = pa.Array.from_buffers(pa.binary(), len(chosen), [None, pa.py_buffer(offsets), pa.py_buffer(data.tobytes())])
+    ints = [pa.array(np.minimum(x, most).astype(np.int32)) for x, most in ((gap, 1 << 30), (room, 1 << 30), (rest, LINE_DEPTH))]
     return _lists(pa.StructArray.from_arrays([suffix, *ints], _ANCHOR.names), par, n, None, sent)
 
 
+def _grams(key: np.ndarray, text: np.ndarray, host: np.ndarray, sent: np.ndarray) -> pa.Array:
+    """Lists, by paragraph of prose that is sent, of all its substrings of LONG tokens and the shorter ones, down to SHORT
+    and the mark, that run to its end. Substrings side by side that go by the same GRAM tokens stand together: (key of these and the
+    host, place of the first substring, a hash of four bytes of each). The marks before and after a paragraph count as
+    its tokens. A paragraph shorter than LONG is one substring, which goes by its end as those that run to it."""
+    n, asked = len(sent), np.flatnonzero(sent)
+    size = np.bincount(text, minlength=n)[asked] + 2
+    edge = np.append(0, np.cumsum(size))
+    total = int(edge[-1])
+    first, end = edge[:-1], edge[1:]
+    stream = np.full(total, _END)
+    inner = np.ones(total, bool)
+    inner[first] = inner[end - 1] = False
+    stream[inner] = key[sent[text]] if n else key
+    up, down = streams.powers(total + 1)
+    sums = np.append(_NO, np.cumsum(streams.mix(stream) * up[:total], dtype=np.uint64))
+    hashed = lambda a, b: streams.mix((sums[b] - sums[a]) * down[a])
+    k = np.arange(total)
+    par = np.repeat(np.arange(len(asked)), size)
+    at = k[k + LONG <= end[par]]
+    # The least of the grams within each substring, and the first of equal ones: a gram's place stands in the low bits of its hash.
+    low = np.uint64((1 << 30) - 1)
+    least = hashed(k[: max(0, total - GRAM + 1)], k[GRAM - 1 :] + 1) & ~low | k[: max(0, total - GRAM + 1)].astype(np.uint64)
+    reach, wide = 1, LONG - GRAM + 1
+    while 2 * reach <= wide:
+        least = np.minimum(least[:-reach], least[reach:])
+        reach *= 2
+    by = (np.minimum(least[at], least[at + wide - reach]) & low).astype(np.int64)
+    # Substrings to the end: those shorter than LONG, down to SHORT and the mark, and shorter paragraphs as a whole.
+    tails = np.maximum(1, np.minimum(LONG - 1, size) - SHORT)
+    tail = np.repeat(end - np.minimum(LONG - 1, size), tails) + np.arange(int(tails.sum())) - np.repeat(np.cumsum(tails) - tails, tails)
+    end_of = np.repeat(end, tails)
+    starts = np.concatenate([at, tail])
+    go_by = np.concatenate([hashed(by, by + GRAM), ~hashed(np.maximum(end_of - SHORT - 1, first[par[tail]]), end_of)])
+    mark = (hashed(starts, np.concatenate([at + LONG, end_of])) >> np.uint64(32)).astype(np.uint32)
+    order = np.argsort(np.concatenate([par[at] * 2, par[tail] * 2 + 1]), kind="stable")
+    starts, go_by, mark, of = starts[order], go_by[order], mark[order], par[starts[order]]
+    new = np.ones(len(starts), bool)
+    group = np.concatenate([by, -1 - par[tail]])[order]
+    new[1:] = group[1:] != group[:-1]
+    head = np.flatnonzero(new)
+    offsets = np.append(head, len(starts)).astype(np.int32) * np.int32(4)
+    marks = pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(offsets), pa.py_buffer(mark.tobytes())])
+    keys = streams.join(go_by[head], host[asked[of[head]]]).view(np.int64)
+    rows = pa.StructArray.from_arrays([pa.array(keys), pa.array((starts[head] - first[of[head]]).astype(np.int32)), marks], _GRAM.names)
+    return _lists(rows, asked[of[head]], n, None, sent)
+
+
 def _first_pass(shingled: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (TaskContext.get().partitionId() + 1) << 36
@@ -372,7 +419,7 @@ def common(data: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """Tokens that each of the sorted suffixes has in common with the next, none where the hosts differ."""
     tok = data[:, 8:].view(">u2")
     same = tok[1:] == tok[:-1]
-    lcp = np.where(same.all(1), DEPTH, same.argmin(1))
+    lcp = np.where(same.all(1), LINE_DEPTH, same.argmin(1))
     lcp = np.where((data[1:, :8] == data[:-1, :8]).all(1), lcp, 0)
     return np.minimum(lcp, np.minimum(rest[1:], rest[:-1]))
 
@@ -381,7 +428,7 @@ def lengths(lcp: np.ndarray, who: np.ndarray) -> np.ndarray:
     """The longest beginning of each sorted suffix that REPEATED different values of who share, from two tokens on."""
     out = np.zeros(len(who), np.int32)
     alive = np.arange(len(who))
-    for level in range(2, DEPTH + 1):
+    for level in range(2, LINE_DEPTH + 1):
         if len(alive) < REPEATED:
             break
         joined = np.zeros(len(alive), bool)
@@ -397,8 +444,8 @@ def lengths(lcp: np.ndarray, who: np.ndarray) -> np.ndarray:
 
 
 def _sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A sorted range of (suffix, who, line, gap, room, rest, prose) to the rows of _SORTED."""
-    width = 8 + 2 * DEPTH
+    """A sorted range of (suffix, who, line, gap, room, rest) to the rows of _SORTED."""
+    width = 8 + 2 * LINE_DEPTH
     task = (TaskContext.get().partitionId() + 1) << 40
     made = 0
     held: list[tuple] = []
@@ -411,22 +458,21 @@ def _sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def read(b: pa.RecordBatch) -> tuple:
         s = b.column(0)
         ends = np.frombuffer(s.buffers()[1], np.int32)[s.offset : s.offset + len(s) + 1]
-        data = np.zeros((len(s), width), np.uint8)
-        data[np.arange(width) < np.diff(ends)[:, None]] = np.frombuffer(s.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+        data = np.frombuffer(s.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(-1, width)
         data = np.ascontiguousarray(data[:, np.argsort(_SENT)])
-        return (data, *(b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7)))
+        return (data, *(b.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6)))
 
     def work(rows: tuple, first: bool, last: bool) -> Iterator[pa.RecordBatch]:
         nonlocal made
-        data, who, line, gap, room, rest, prose = rows
+        data, who, line, gap, room, rest = rows
         lcp = common(data, rest)
         size = lengths(lcp, who)
-        need = np.minimum(np.where(prose, LONG, SHORT), room + 1)
+        need = np.minimum(SHORT, room + 1)
         # A beginning that the range's first or last row shares may go on in the neighbouring range.
         for at_end in ((False,) if first else ()) + ((True,) if last else ()):
-            chain = np.minimum.accumulate(np.concatenate([[DEPTH], lcp if not at_end else lcp[::-1]]))
-            chain[0] = min(DEPTH, int(rest[-1 if at_end else 0]))
-            shared = np.minimum(chain if not at_end else chain[::-1], DEPTH)
+            chain = np.minimum.accumulate(np.concatenate([[LINE_DEPTH], lcp if not at_end else lcp[::-1]]))
+            chain[0] = min(LINE_DEPTH, int(rest[-1 if at_end else 0]))
+            shared = np.minimum(chain if not at_end else chain[::-1], LINE_DEPTH)
             row = data[-1 if at_end else 0].tobytes()
             near = np.flatnonzero(shared >= 2)
             border = [(row[: 8 + 2 * level], int(w)) for level in range(2, int(shared[near].max(initial=1)) + 1) for w in np.unique(who[near][shared[near] >= level])[:REPEATED]]
@@ -465,8 +511,8 @@ def _sorted_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def covered_tokens(first: DataFrame) -> DataFrame:
     """(line, cov): tokens that repeated substrings cover, summed over the places of a line that sent suffixes; from the sorted ones."""
-    a = first.filter(F.col("kind") == PARAGRAPH).select("who", "line", "prose", F.explode("anchors").alias("a"))
-    rows = a.select("a.suffix", "who", "line", "a.gap", "a.room", "a.rest", "prose")
+    a = first.filter((F.col("kind") == PARAGRAPH) & ~F.col("prose")).select("who", "line", F.explode("anchors").alias("a"))
+    rows = a.select("a.suffix", "who", "line", "a.gap", "a.room", "a.rest")
     ranged = rows.repartitionByRange("suffix", "who").sortWithinPartitions("suffix", "who")
     found = cut(ranged.mapInArrow(_sorted_pass, _SORTED), "suffix-array")
     across = found.filter(F.col("kind") == BORDER).groupBy("prefix").agg(F.count_distinct("who").alias("n")).filter(F.col("n") >= REPEATED)
@@ -476,6 +522,98 @@ def covered_tokens(first: DataFrame) -> DataFrame:
     return found.filter(F.col("kind") == SPAN).select("line", "cov").unionByName(more).groupBy("line").agg(F.sum("cov").alias("cov"))
 
 
+#: Rows of prose: tokens from lo to hi at which repeated substrings start; where key is told, a substring that is still to be counted.
+_SPANS = T.StructType([T.StructField("line", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("mark", T.IntegerType()), T.StructField("who", T.LongType())])
+
+
+def _repeated(group: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """Whether REPEATED different values of who stand in the group of each row."""
+    order = np.lexsort((who, group))
+    g, w = group[order], who[order]
+    start = np.ones(len(g), bool)
+    start[1:] = g[1:] != g[:-1]
+    new = start.copy()
+    new[1:] |= w[1:] != w[:-1]
+    number = np.cumsum(start) - 1
+    out = np.zeros(len(g), bool)
+    out[order] = (np.bincount(number, weights=new) >= REPEATED)[number] if len(g) else False
+    return out
+
+
+def _gram_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (key, who, line, size, start, marks) sorted by key to those of _SPANS."""
+    types = {"line": pa.int64(), "size": pa.int32(), "lo": pa.int32(), "hi": pa.int32(), "key": pa.int64(), "mark": pa.int32(), "who": pa.int64()}
+
+    def emit(**columns) -> pa.RecordBatch:
+        size = len(columns["line"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(size, t) for c, t in types.items()], names=_SPANS.names)
+
+    def to(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.where(at >= size - SHORT, size, at + 1)
+
+    def work(t: pa.Table, whole: bool) -> pa.RecordBatch:
+        """whole: the rows of each key are all here."""
+        if whole:
+            t = t.filter(pa.array(_repeated(t["key"].to_numpy(), t["who"].to_numpy())))
+        key, who, line, size, start = (t[c].to_numpy() for c in ("key", "who", "line", "size", "start"))
+        marks = t["marks"].combine_chunks()
+        times = pc.binary_length(marks).to_numpy(zero_copy_only=False) // 4
+        row = np.repeat(np.arange(len(key)), times)
+        mark = np.frombuffer(b"".join(marks.to_pylist()), np.int32)
+        at = start[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+        if not whole:
+            return emit(line=line[row], size=size[row], lo=at, hi=to(at, size[row]), key=key[row], mark=mark, who=who[row])
+        group = (np.cumsum(np.append(0, key[1:] != key[:-1])) if len(key) else key)[row] << 32 | mark.view(np.uint32)
+        found = np.flatnonzero(_repeated(group, who[row]))
+        row, at = row[found], at[found]
+        new = np.ones(len(found) + 1, bool)
+        new[1:-1] = (found[1:] != found[:-1] + 1) | (row[1:] != row[:-1])
+        head, last = np.flatnonzero(new[:-1]), np.flatnonzero(new[1:])
+        return emit(line=line[row[head]], size=size[row[head]], lo=at[head], hi=to(at[last], size[row[head]]))
+
+    held: list[pa.RecordBatch] = []
+    crowded = None  # a key of which some rows were left to Spark, so that the others must be too
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) < CHUNK:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        key = t["key"].to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        passed = int(np.searchsorted(key, crowded, side="right")) if crowded is not None else 0
+        if passed:
+            yield work(t[:passed], False)
+        if last > passed:
+            yield work(t[passed:last], True)
+        t = t[max(last, passed) :]
+        if t.num_rows >= CROWD:
+            yield work(t, False)
+            crowded, t = int(key[-1]), t[:0]
+        held = t.to_batches()
+    if held:
+        t = pa.Table.from_batches(held).combine_chunks()
+        passed = int(np.searchsorted(t["key"].to_numpy(), crowded, side="right")) if crowded is not None else 0
+        if passed:
+            yield work(t[:passed], False)
+        yield work(t[passed:], True)
+
+
+def covered_prose(first: DataFrame) -> DataFrame:
+    """(line, size, cov): tokens of paragraphs of prose, all of them looked at, at which repeated substrings start."""
+    g = first.filter((F.col("kind") == PARAGRAPH) & F.col("prose")).select("who", "line", "size", F.explode("grams").alias("g"))
+    rows = g.select("g.key", "who", "line", "size", "g.start", "g.marks").repartition("key").sortWithinPartitions("key")
+    found = cut(rows.mapInArrow(_gram_pass, _SPANS), "prose-spans")
+    open_ = found.filter(F.col("key").isNotNull())
+    more = open_.join(open_.groupBy("key", "mark").agg(F.count_distinct("who").alias("n")).filter(F.col("n") >= REPEATED), ["key", "mark"], "left_semi")
+    spans = found.filter(F.col("key").isNull()).select("line", "size", "lo", "hi").unionByName(more.select("line", "size", "lo", "hi"))
+    union = F.aggregate(
+        F.array_sort("spans"), F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
+        lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["hi"] - F.greatest(x["lo"], a["to"]))).alias("n"), F.greatest(a["to"], x["hi"]).alias("to")), lambda a: a["n"])
+    return spans.groupBy("line").agg(F.first("size").alias("size"), F.collect_set(F.struct("lo", "hi")).alias("spans")).select("line", "size", union.alias("cov"))
+
+
 def _collect_counts(df: DataFrame) -> tuple[np.ndarray, tuple[float, float]]:
     """A (2, BUCKETS) array of story and part counts from (bucket, story, part) rows, and the units of both, told in
     bucket -1; at most BUCKETS + 1 rows come to the driver."""
@@ -567,8 +705,7 @@ def with_lines(pages: DataFrame, page_id: str, site: str, title: str, pars: str,
     covered = covered_tokens(first)
     share = F.coalesce(F.col("cov") / (F.col("sent") * F.col("size")), F.lit(0.0))
     sent = F.count_if("sent").alias("sent")
-    told = par.filter("prose").groupBy("line").agg(sent, F.first("size").alias("size"))
-    standing = cut(told.join(covered, "line").filter(share >= STANDING).select("line"), "standing-prose")
+    standing = cut(covered_prose(first).filter(F.col("cov") >= STANDING * F.col("size")).select("line"), "standing-prose")
     # The cores of pages with standing paragraphs are those of their other prose.
     seen = par.filter("prose").select("uid", "par_no", "line").join(standing.withColumn("standing", F.lit(True)), "line", "left")
     at = F.when(F.col("standing").isNull(), F.col("par_no"))

@@ -40,7 +40,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[_CAPITAL] += 32
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
     global _UP, _DOWN
     if len(_UP) < n:
@@ -70,7 +70,7 @@ def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def key_of(text: str) -> np.uint64:
     """The key of one token."""
     raw = text.lower().encode()
-    up, down = _powers(len(raw) + 1)
+    up, down = powers(len(raw) + 1)
     return mix(np.array([(np.frombuffer(raw, np.uint8).astype(np.uint64) * down[: len(raw)]).sum(dtype=np.uint64) + np.uint64(len(raw))], np.uint64))[0]
 
 
@@ -114,7 +114,7 @@ def tokens(texts: pa.Array) -> Tokens:
     upper2 = np.zeros(n, bool)  # second bytes of Latin-1 capitals
     upper2[1:] = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)
     low[upper2] += 0x20
-    up, down = _powers(n + 1)
+    up, down = powers(n + 1)
     total = np.append(np.uint64(0), np.cumsum(low * down[:n], dtype=np.uint64))
     digit = _DIGIT[b]
     digits = np.concatenate([[0], np.cumsum(digit)])
@@ -151,7 +151,7 @@ def tokens(texts: pa.Array) -> Tokens:
 def sequence_keys(keys: np.ndarray, unit: np.ndarray, units: int) -> np.ndarray:
     """One key for the ordered keys of each unit; unit is sorted, and units without keys get zero."""
     place = np.arange(len(unit)) - np.searchsorted(unit, unit, side="left")
-    up, _ = _powers(int(place.max(initial=0)) + 1)
+    up, _ = powers(int(place.max(initial=0)) + 1)
     out = np.zeros(units, np.uint64)
     if len(unit):
         heads = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
@@ -165,7 +165,7 @@ def windows(keys: np.ndarray, unit: np.ndarray, width: int) -> tuple[np.ndarray,
         return np.empty(0, np.uint64), np.empty(0, unit.dtype)
     first, last = np.searchsorted(unit, unit, side="left"), np.searchsorted(unit, unit, side="right")
     place = np.arange(len(keys))
-    up, _ = _powers(width)
+    up, _ = powers(width)
     out = np.zeros(len(keys), np.uint64)
     for j in range(width):
         at = place + j

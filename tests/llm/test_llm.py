@@ -184,6 +184,56 @@ def test_suffixes_against_brute_force(spark):
     spark.conf.set("spark.sql.shuffle.partitions", before)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
+def test_every_place_of_prose_is_looked_at(spark, monkeypatch):
+    rng = random.Random(11)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lnrst"]
+    fixed = [[rng.choice(words) for _ in range(n)] for n in (19, 23, 27, 40, 33)]
+    def paragraph():
+        own = lambda: [rng.choice(words) for _ in range(rng.randrange(0, 12))]
+        toks = own() + [w for f in rng.sample(fixed, 3) for w in f[rng.randrange(0, 4) :] + own() * rng.randrange(0, 2)] + fixed[1][-rng.randrange(3, 20) :]
+        return " ".join(["the", *toks]) + "."
+    same = paragraph()
+    pages = [(i, f"Site {i % 2}", f"Headline {i % 31}", [paragraph(), "Read more", paragraph() if i % 5 else same]) for i in range(80)]
+    first = spark.createDataFrame(pages, "page_id long, site string, title string, pars array<string>").repartition(3).mapInArrow(boilerplate._first_pass(False), boilerplate._PASS).cache()
+    line = {(r.page_id, r.par_no): r.line for r in first.filter("kind = 0 and prose").select("page_id", "par_no", "line").collect()}
+    assert len(line) == 160
+    streams_ = {(i, p): ["#", *x[:-1].split(), "#"] for i, _, _, pars in pages for p, x in enumerate(pars, 1) if p != 2}
+    run = lambda s, k: tuple(s[(a := min(k, len(s) - 1 - boilerplate.SHORT)) : a + boilerplate.LONG])
+    on = {}
+    for (i, p), s in streams_.items():
+        for k in range(len(s) - 1):
+            on.setdefault((i % 2, run(s, k)), set()).add(pages[i][2])
+    want = {line[i, p]: sum(len(on[i % 2, run(s, k)]) >= 3 for k in range(len(s) - 1)) for (i, p), s in streams_.items()}
+    assert {r.line: r.cov for r in boilerplate.covered_prose(first).collect()} == {k: v for k, v in want.items() if v}
+    # The same whatever comes together, and where a key has more rows than are held at once.
+    rows = first.filter("kind = 0 and prose").select("who", "line", "size", F.explode("grams").alias("g")).select("g.key", "who", "line", "size", "g.start", "g.marks").orderBy("key").toArrow()
+    for chunk, crowd in ((50, 1 << 20), (7, 20), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(boilerplate, "CHUNK", chunk)
+        monkeypatch.setattr(boilerplate, "CROWD", crowd)
+        covered, counted, open_ = {}, {}, []
+        for x in (x for b in boilerplate._gram_pass(iter(rows.to_batches(max_chunksize=5))) for x in b.to_pylist()):
+            if x["key"] is None:
+                covered.setdefault(x["line"], set()).update(range(x["lo"], x["hi"]))
+            else:
+                counted.setdefault((x["key"], x["mark"]), set()).add(x["who"])
+                open_.append(x)
+        assert (len(open_) > 0) == (crowd == 20)
+        for x in open_:
+            if len(counted[x["key"], x["mark"]]) >= 3:
+                covered.setdefault(x["line"], set()).update(range(x["lo"], x["hi"]))
+        assert {k: len(v) for k, v in covered.items()} == {k: v for k, v in want.items() if v}
+
+
+def test_a_notice_after_a_word_of_the_page_is_no_prose(spark):
+    rng = random.Random(13)
+    words = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in "lnrst"]
+    terms = " ".join(rng.choice(words) for _ in range(60))
+    data = [(i, "Site", f"Headline {words[i]}", ["The " + " ".join(rng.sample(words, 50)) + ".", f"{words[30 + i].capitalize()} the {terms}."], "x") for i in range(12)]
+    df = spark.createDataFrame(data, "article_id int, source string, title string, html_paragraphs array<string>, score string")
+    got = {(r.page_id, r.par_no): r.prose for r in boilerplate.paragraphs(df).collect()}
+    assert all(got[i, 1] and not got[i, 2] for i in range(12))
+
+
 def test_residue(spark):
     df = pages_frame(spark).withColumn("text", F.array_join(F.transform("html_paragraphs", lambda p: F.coalesce(p, F.lit(""))), "\n"))
     got = {(r.page_id, r.reason) for r in residue.residue_pages(df).collect()}
