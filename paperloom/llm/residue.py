@@ -70,25 +70,29 @@ def spread_labels(lines: DataFrame) -> DataFrame:
     """
     width = 64 // BLOCKS
     block = lambda i: F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit((1 << width) - 1))
-    tables = F.array(*[F.struct(F.lit(no).alias("no"), (F.shiftleft(block(i), width) + block(j)).alias("part")) for no, (i, j) in enumerate(combinations(range(BLOCKS), 2))])
+    # A key of a table has its number above the blocks; the shingles' own keys may meet it by chance, which the check sorts out.
+    tables = F.array(*[F.lit(no << 2 * width) + F.shiftleft(block(i), width) + block(j) for no, (i, j) in enumerate(combinations(range(BLOCKS), 2))])
     size = F.size("shingles")
     first = F.slice(F.array_sort("shingles"), 1, (size - F.ceil(SIMILAR * size) + 1).cast("int"))
-    tables = F.concat(tables, F.transform(first, lambda k: F.struct(F.lit(-1).alias("no"), k.alias("part"))))
+    tables = F.concat(tables, first)
     grouped = lines.filter(F.size("shingles") > 0).withColumn("shingles", F.array_distinct("shingles")).withColumn("group", F.xxhash64(F.array_sort("shingles")))
     base = cut(_hashed(grouped.groupBy(F.col("group").alias("line")).agg(F.max("label").alias("label"), F.first("shingles").alias("shingles"), F.first("feats").alias("feats"))), "line-hashes")
     known = base.filter(F.col("label").isNotNull())
     fresh, rest = known, base.filter(F.col("label").isNull())
     found = known.select("line", "label")
+    shingles = lambda line, name: base.select(F.col("line").alias(line), F.col("shingles").alias(name))
     while True:  # each round takes lines from the rest, so that it ends
-        left = fresh.select("label", F.explode(tables).alias("table"), F.col("hash").alias("h"), F.col("shingles").alias("s"))
-        right = rest.select("line", "shingles", "hash", F.explode(tables).alias("table"))
+        # Only hashes go to the tables; the shingles follow for the lines whose hashes are near.
+        left = fresh.select(F.col("line").alias("of"), "label", F.explode(tables).alias("key"), F.col("hash").alias("h"))
+        right = rest.select("line", "hash", F.explode(tables).alias("key"))
+        met = right.join(left, "key").filter(F.bit_count(F.col("h").bitwiseXOR(F.col("hash"))) <= DISTANCE).select("line", "of", "label").distinct()
         both = F.size(F.array_intersect("s", "shingles"))
-        near = (F.bit_count(F.col("h").bitwiseXOR(F.col("hash"))) <= DISTANCE) & (both >= SIMILAR * (F.size("s") + F.size("shingles") - both))
-        added = cut(right.join(left, "table").filter(near).groupBy("line").agg(F.max("label").alias("label"), F.first("shingles").alias("shingles"), F.first("hash").alias("hash")), "spread-labels")
+        alike = met.join(shingles("of", "s"), "of").join(shingles("line", "shingles"), "line").filter(both >= SIMILAR * (F.size("s") + F.size("shingles") - both))
+        added = cut(alike.groupBy("line").agg(F.max("label").alias("label")), "spread-labels")
         if added.isEmpty():
             break
-        found = found.unionByName(added.select("line", "label"))
-        fresh, rest = added, cut(rest.join(added.select("line"), "line", "left_anti"), "unlabelled")
+        found = found.unionByName(added)
+        fresh, rest = base.drop("label").join(added, "line"), cut(rest.join(added, "line", "left_anti"), "unlabelled")
     return grouped.select("line", "group").join(found.withColumnRenamed("line", "group"), "group").select("line", "label")
 
 

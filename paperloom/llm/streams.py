@@ -40,6 +40,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[_CAPITAL] += 32
 
 
+def _before(flags: np.ndarray) -> np.ndarray:
+    """The number of flags before each place, and of all."""
+    out = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, dtype=np.int32, out=out[1:])
+    return out
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
     global _UP, _DOWN
@@ -101,13 +108,12 @@ def tokens(texts: pa.Array) -> Tokens:
         return Tokens(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, bool), np.empty(0, bool))
     kind = _KIND[b]
     starts = unique(edges[:-1][edges[:-1] < n])
-    before = np.concatenate([[0], kind[:-1]]).astype(np.uint8)
-    before[starts] = 0
-    after = np.concatenate([kind[1:], [0]]).astype(np.uint8)
-    after[starts[1:] - 1] = 0
-    single = kind == 2
-    s = np.flatnonzero(single | ((kind == 1) & (before != 1)))
-    e = np.flatnonzero(single | ((kind == 1) & (after != 1))) + 1
+    word, single = kind == 1, kind == 2
+    joined = np.zeros(n + 1, bool)  # to the byte before
+    joined[1:n] = word[1:] & word[:-1]
+    joined[starts] = False
+    s = np.flatnonzero(single | (word & ~joined[:-1]))
+    e = np.flatnonzero(single | (word & ~joined[1:])) + 1
     text = np.searchsorted(edges, s, side="right") - 1
     begin = edges[text]
     low = _LOWER[b]
@@ -115,33 +121,34 @@ def tokens(texts: pa.Array) -> Tokens:
     upper2[1:] = (b[:-1] == 0xC3) & (b[1:] >= 0x80) & (b[1:] <= 0x9E) & (b[1:] != 0x97)
     low[upper2] += 0x20
     up, down = powers(n + 1)
-    total = np.append(np.uint64(0), np.cumsum(low * down[:n], dtype=np.uint64))
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(low * down[:n], out=total[1:])
     digit = _DIGIT[b]
-    digits = np.concatenate([[0], np.cumsum(digit)])
-    at = np.append(np.flatnonzero(digit), n)
-    first_digit = at[np.searchsorted(at, s)] if len(at) > 1 else np.full(len(s), n)
+    digits = _before(digit)
+    first_digit = np.append(np.flatnonzero(digit), n)[digits[s]]
     masked = first_digit < e
     end = np.where(masked, first_digit, e)
     key = mix((total[end] - total[s]) * up[s] + (end - s).astype(np.uint64))
     key[masked] = mix(key[masked] ^ np.uint64(0x30))
     space = _SPACE[b]
-    last_space = np.concatenate([[0], np.maximum.accumulate(np.where(space, np.arange(1, n + 1), 0))])
-    swallowed = digits[s] > digits[np.maximum(last_space[s], begin)]
+    spaces = _before(space)
+    last_space = np.append(0, np.flatnonzero(space) + 1)[spaces[s]]
+    swallowed = digits[s] > digits[np.maximum(last_space, begin)]
     # A capitalised word is a name where a word stands before it in the same sentence.
     p = s - 1
     p = p - np.where((p >= begin) & _OPENS[b[np.maximum(p, 0)]], 1, 0)
     q = np.maximum(p - 1, 0)
     capital = _CAPITAL[b[s]] | ((b[s] == 0xC3) & upper2[np.minimum(s + 1, n - 1)])
-    danda = (b == 0xA4) & (np.concatenate([[0], b[:-1]]) == 0xA5)
+    danda = np.zeros(n, bool)
+    danda[1:] = (b[1:] == 0xA4) & (b[:-1] == 0xA5)
     name = capital & (p - 1 >= begin) & (b[np.maximum(p, 0)] == 32) & ~_NO_NAME_AFTER[b[q]] & ~danda[q]
     small = _SMALL[b]
     small[1:] |= (b[:-1] == 0xC3) & (b[1:] >= 0x9F)
-    smalls = np.concatenate([[0], np.cumsum(small)])
+    smalls = _before(small)
     name &= (smalls[edges[text + 1]] > smalls[begin])  # a line all in capitals tells no names
-    stops = np.concatenate([[0], np.cumsum(_STOP[b])])
+    stops = _before(_STOP[b])
     prev_end = np.concatenate([[0], e[:-1]])
     same = np.concatenate([[False], text[1:] == text[:-1]])
-    spaces = np.concatenate([[0], np.cumsum(space)])
     fresh = ~same | (((stops[s] > stops[prev_end]) | danda[np.maximum(prev_end - 1, 0)]) & (spaces[s] > spaces[prev_end]))
     keep = ~swallowed
     # A swallowed token that began a sentence can't: figures are swallowed within a word only.

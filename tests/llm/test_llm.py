@@ -249,6 +249,23 @@ def test_labels_pass_along_long_chains(spark):
     assert residue.spread_labels(spark.createDataFrame(data, "line long, label int, feats array<int>, shingles array<long>")).count() == 14
 
 
+def test_labels_against_brute_force(spark):
+    rng = random.Random(17)
+    sets = [[rng.randrange(1 << 60) for _ in range(rng.randrange(1, 25))] for _ in range(25)]
+    for _ in range(120):
+        s = list(rng.choice(sets))
+        sets.append([x for x in s if rng.random() > 0.06] + [rng.randrange(1 << 60)] * (rng.random() < 0.3) or s)
+    feats = [[x % (1 << 20) for x in s] for s in sets]
+    hashes = [int(residue.simhash(residue.np.array(f), residue.np.array([0, len(f)]))[0]) for f in feats]
+    near = lambda a, b: bin((hashes[a] ^ hashes[b]) & (1 << 64) - 1).count("1") <= residue.DISTANCE and len({*sets[a]} & {*sets[b]}) >= residue.SIMILAR * len({*sets[a]} | {*sets[b]})
+    want = set(range(10))
+    while more := {b for b in range(len(sets)) if b not in want and any(near(a, b) for a in want)}:
+        want |= more
+    rows = [(i, 5 if i < 10 else None, f, s) for i, (f, s) in enumerate(zip(feats, sets))]
+    got = {r.line for r in residue.spread_labels(spark.createDataFrame(rows, "line long, label int, feats array<int>, shingles array<long>")).collect()}
+    assert got == want and len(want) > 30
+
+
 # 7. Batches
 
 
