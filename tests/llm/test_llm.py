@@ -101,6 +101,23 @@ def test_encodings_edges(spark):
     assert encodings.repair(df.limit(0), m).count() == 0
 
 
+def test_models_are_counted_over_all_values(spark):
+    rng = random.Random(19)
+    common = [f"{w}é" for w in ("harbour", "council", "bridge", "museum")]
+    data = [("en", " ".join([rng.choice(common)] + [f"{chr(97 + i % 26)}{i}" for i in rng.sample(range(5000), 6)])) for _ in range(3000)]
+    rare = [f"kept{i}ü" for i in range(3)]
+    data += [("en", " ".join(rare * 60)), ("en", " ".join(["lÃ©nt"] * 400)), (None, "uno"), ("xx", "zwölf zwölf"), ("th", "ก" * 30), ("en", None), ("en", "")]
+    df = spark.createDataFrame(data, "language string, text string")
+    got = encodings.corpus_model(df.repartition(5), languages=2)
+    want = encodings.train([("en", t) for lang, t in data if lang == "en"])
+    assert got.dictionaries["en"] == want.dictionaries["en"] and all(f" {w}".encode() in got.dictionaries["en"] for w in common + rare)
+    assert "lÃ©nt".encode() not in got.dictionaries["en"] and set(got.dictionaries) == {"en", "", "other languages"}
+    assert " zwölf".encode() in got.dictionaries["other languages"] and ("ก" * encodings.PIECE).encode() in got.dictionaries["other languages"]
+    again = encodings.corpus_model(df.repartition(1), languages=2)
+    assert again.dictionaries == got.dictionaries and again.known == got.known == frozenset("é")
+    assert encodings.corpus_model(df.limit(0)).cost("é") > 0
+
+
 # 5 and 6. Page parts and residue
 
 
