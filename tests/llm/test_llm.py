@@ -351,6 +351,33 @@ def test_every_title_alike_is_found_whatever_the_history(spark):
     assert likely <= met and found <= met
 
 
+def test_titles_of_one_pattern_meet_only_where_names_agree(spark):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5)).capitalize()
+    say = lambda a, b: f"How {a} rebuilt {b} 2 for night-shift workers despite a long strike"
+    named = [(name(), name()) for _ in range(400)]
+    old, new = [say(*x) for x in named[:300]], [say(*x) for x in named[300:]]
+    a, b = named[7]
+    again = [say(a[:3] + a[4:], b), say(a, b).replace("rebuilt", "remade"), say(a[:2] + a[3] + a[2] + a[4:], b[:-1]), " ".join(say(a, b).split()[:9]) + " …"]
+    old += ["Zorvex Tulan Prime Opens in Marvik", "Nadir Belko and Sorvat Quemly meet in Marvik"]
+    new += ["the prime of old tulan is not prime", "Zorvex Tulan Opens in Marvik"]  # what may have been a name was none
+    data = [(i + 1, t, None, None, int(i >= len(old))) for i, t in enumerate(old + new + again)]
+    df = spark.createDataFrame(data, "ordinal long, title string, url string, source string, batch_no int")
+    index = increments.RepeatIndex(spark)
+    index.build(df.filter("batch_no = 0"))
+    dressed = index._dress(df.filter("batch_no = 1"), index.counts).cache()
+    keys = dressed.select("ordinal", "dress", "cut_off", "chunks", "size", F.explode("keys").alias("k")).select("ordinal", "dress", "cut_off", "chunks", "size", "k.kind", "k.key")
+    assert index.met(dressed, keys).count() < 2 * len(old)
+    found = {(r.ordinal_first, r.ordinal_dup) for r in index.accept(df.filter("batch_no = 1")).collect()}
+    n = len(old) + len(new)
+    assert {(8, n + i) for i in range(1, 5)} | {(301, n)} == found
+
+
+def test_families():
+    kin = increments.np.array([(5, 3, 1, 0), (3, 9, 0, 2), (7, 8, 0, 0), (8, 8, 0, 0), (6, 6, 0, 0), (2, 4, 1, 1)])
+    assert dict(zip(*(x.tolist() for x in increments.families(kin)))) == {2: 2, 3: 3, 4: 2, 5: 3, 6: 0, 7: 0, 8: 0, 9: 3}
+
+
 # 8. Packing
 
 
