@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -373,6 +375,20 @@ def test_titles_of_one_pattern_meet_only_where_names_agree(spark):
     assert {(8, n + i) for i in range(1, 5)} | {(301, n)} == found
 
 
+def test_memory_that_the_driver_has_freed_goes_back(spark):
+    jvm, held = spark.sparkContext._jvm, 300
+    held_mb = lambda: int(re.search(r"\nRss:\s+(\d+)", Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup").read_text())[1]) / 1024
+    index = increments.RepeatIndex(spark)
+    index._free()
+    native = [jvm.java.util.zip.Deflater() for _ in range(held)]  # some 0.25 MB each outside the heap
+    full = held_mb()
+    for x in native[:-1]:  # the last one keeps the allocator from giving back what lies before it
+        x.end()
+    index._free()
+    native[-1].end()
+    assert full - held_mb() > held / 10
+
+
 def test_families():
     kin = increments.np.array([(5, 3, 1, 0), (3, 9, 0, 2), (7, 8, 0, 0), (8, 8, 0, 0), (6, 6, 0, 0), (2, 4, 1, 1)])
     assert dict(zip(*(x.tolist() for x in increments.families(kin)))) == {2: 2, 3: 3, 4: 2, 5: 3, 6: 0, 7: 0, 8: 0, 9: 3}
