@@ -220,14 +220,14 @@ def categories(docs: DataFrame, key: str, title: str, text: str, lexicon: DataFr
     """(key, category, score): the category of a lexicon (place, category, word) whose words a title (3 each) and a text (a half each,
     three times at most) hold most; the first of equal ones, none under least. Single words meet tokens; phrases are looked for in the
     joined tokens of the texts that hold their first word."""
-    d = docs.select(key, X.words(F.col(title)).alias("tw"), X.words(F.substring(text, 1, 3000)).alias("bw"))
+    d = docs.select(key, X.words(F.col(title)).alias("tw"), X.words(F.col(text)).alias("bw"))
     words = lexicon.select("place", "category", F.lower("word").alias("word")).withColumn("head", F.split_part("word", F.lit(" "), F.lit(1)))
     each = d.select(key, F.array_join("tw", " ").alias("t"), F.array_join("bw", " ").alias("b"), F.explode(F.array_union("tw", "bw")).alias("head")).join(words, "head")
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     here = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    # Doubled spaces let neighbouring occurrences each have their own.
-    wide = lambda c: F.replace(padded(c), F.lit(" "), F.lit("  "))
-    number = occurrences(wide("b"), F.replace(here, F.lit(" "), F.lit("  ")))
+    # Doubled spaces within let neighbouring occurrences each have their own around.
+    wide = lambda c: F.concat(F.lit(" "), F.replace(F.col(c), F.lit(" "), F.lit("  ")), F.lit(" "))
+    number = occurrences(wide("b"), wide("word"))
     score = F.when(F.contains(padded("t"), here), 3.0).otherwise(0.0) + 0.5 * F.least(F.lit(3), number)
     per = each.select(key, "place", "category", score.alias("s")).groupBy(key, "place", "category").agg(F.sum("s").alias("s"))
     best = per.groupBy(key).agg(F.max(F.struct("s", (-F.col("place")).alias("p"), "category")).alias("m"))

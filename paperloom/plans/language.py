@@ -233,7 +233,7 @@ h AS (SELECT ordinal, sum(x) AS hype FROM (SELECT ordinal, unnest(w) AS word FRO
 f AS (SELECT ordinal, title, low, len(w) AS n, coalesce(hype, 0.0) AS hype, len(list_filter([{_quoted(scores.CURIOSITY)}], lambda p: contains(low, p))) > 0 AS cur, len(list_filter([{_quoted(scores.URGENCY)}], lambda p: contains(low, p))) > 0 AS urg, regexp_matches(title, '{scores.LISTICLE}') AS lis, len(regexp_extract_all(title, '\\b[A-Z]{{4,}}\\b')) AS caps, len(title) - len(replace(title, '!', '')) AS ex, regexp_matches(title, '\\?\\s*$') AND NOT regexp_matches(title, '[0-9]') AS ask FROM t LEFT JOIN h USING (ordinal))
 SELECT ordinal, round(CASE WHEN title = '' THEN 1.0 ELSE least(1.0, CASE WHEN cur THEN 0.34 ELSE 0 END + 0.22 * hype + CASE WHEN urg THEN 0.2 ELSE 0 END + CASE WHEN lis THEN 0.18 ELSE 0 END + least(0.25, 0.12 * caps) + 0.12 * ex + CASE WHEN ask THEN 0.08 ELSE 0 END + CASE WHEN n > 22 THEN 0.1 ELSE 0 END + CASE WHEN n < 4 THEN 0.12 ELSE 0 END) END, 6) AS bait,
 cur::BIGINT + (hype > 0)::BIGINT + urg::BIGINT + lis::BIGINT + (caps > 0)::BIGINT + (ex > 0)::BIGINT + ask::BIGINT + (n > 22)::BIGINT + (n < 4)::BIGINT AS reasons FROM f""",
-    "q_categories": f"""WITH x(place, category, word) AS (VALUES {_LEX}), t AS (SELECT ordinal, ' ' || array_to_string(regexp_extract_all(lower(coalesce(title, '')), '{_WORDS}'), ' ') || ' ' AS a, ' ' || array_to_string(regexp_extract_all(lower(substr(coalesce(summary, ''), 1, 3000)), '{_WORDS}'), '  ') || ' ' AS b FROM items),
+    "q_categories": f"""WITH x(place, category, word) AS (VALUES {_LEX}), t AS (SELECT ordinal, ' ' || array_to_string(regexp_extract_all(lower(coalesce(title, '')), '{_WORDS}'), ' ') || ' ' AS a, ' ' || array_to_string(regexp_extract_all(lower(coalesce(summary, '')), '{_WORDS}'), '  ') || ' ' AS b FROM items),
 s AS (SELECT ordinal, place, category, sum(CASE WHEN contains(a, ' ' || word || ' ') THEN 3.0 ELSE 0.0 END + 0.5 * least(3, ((length(b) - length(replace(b, ' ' || replace(word, ' ', '  ') || ' ', ''))) / (length(replace(word, ' ', '  ')) + 2))::INT)) AS s FROM t, x GROUP BY ALL)
 SELECT ordinal, category, s::DOUBLE AS score FROM s WHERE s >= 2 QUALIFY row_number() OVER (PARTITION BY ordinal ORDER BY s DESC, place) = 1""",
     "q_title_cosines": f"""WITH {_PAIRS}, a AS (SELECT ordinal, t, count(*)::DOUBLE AS n FROM (SELECT ordinal, unnest(regexp_extract_all(lower(ta), '[a-z0-9]+')) AS t FROM p) u GROUP BY ALL), b AS (SELECT ordinal, t, count(*)::DOUBLE AS n FROM (SELECT ordinal, unnest(regexp_extract_all(lower(tb), '[a-z0-9]+')) AS t FROM p) u GROUP BY ALL),
