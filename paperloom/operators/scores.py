@@ -222,7 +222,11 @@ def categories(docs: DataFrame, key: str, title: str, text: str, lexicon: DataFr
     joined tokens of the texts that hold their first word."""
     d = docs.select(key, X.words(F.col(title)).alias("tw"), X.words(F.col(text)).alias("bw"))
     words = lexicon.select("place", "category", F.lower("word").alias("word")).withColumn("head", F.split_part("word", F.lit(" "), F.lit(1)))
-    each = d.select(key, F.array_join("tw", " ").alias("t"), F.array_join("bw", " ").alias("b"), F.explode(F.array_union("tw", "bw")).alias("head")).join(words, "head")
+    # A lexicon is a dimension: its heads go to the texts, of which only those that hold one are repeated, once for each.
+    heads = F.broadcast(words.agg(F.collect_set("head").alias("heads")))
+    held = d.crossJoin(heads).select(key, "tw", "bw", F.array_intersect(F.array_union("tw", "bw"), "heads").alias("held")).filter(F.size("held") > 0)
+    joined = held.select(key, F.array_join("tw", " ").alias("t"), F.array_join("bw", " ").alias("b"), F.explode("held").alias("head"))
+    each = joined.join(F.broadcast(words), "head")
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     here = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
     # Doubled spaces within let neighbouring occurrences each have their own around.
