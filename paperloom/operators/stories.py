@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -53,30 +55,45 @@ def leader_clusters(items: DataFrame, block: str, key: str, words: str, order: s
 
     Alike are word sets of a Jaccard of threshold, or of a containment of 0.75 with three words in common. Blocks
     are groups that no cluster crosses; their rows arrive sorted and in batches, and only leaders are held.
+
+    In one fixed order of all words, sets of such a Jaccard have one of the first words of each in common, so many that the
+    rest of a set is too few; of a containment, one of the smaller's first words is anywhere in the larger. Frequent words
+    come last, so that few leaders are met. Which words count as frequent changes no row. Of equal sets the first is looked up.
     """
     schema = T.StructType([T.StructField(key, items.schema[key].dataType), T.StructField("leader", items.schema[key].dataType)])
+    counts = items.select(F.explode(F.array_distinct(words)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    # At most 2000 times as many words as a row has on average.
+    often = {r.w: r.n for r in counts.filter(F.col("n") >= max(2, items.count() / 2000)).collect()}
+    share = max(0.75, threshold + 0.15)
     sorted_rows = items.select(*dict.fromkeys((block, key, words, order))).repartition(block).sortWithinPartitions(block, order, key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, leaders, by_word = None, [], {}
+        at = None
         for b in batches:
             out = []
             for group, k, ws in zip(b[block], b[key], b[words]):
-                if group != at:
-                    at, leaders, by_word = group, [], {}
-                mine = frozenset(ws) if ws is not None else frozenset()
-                place = None
-                for i in sorted({i for w in mine for i in by_word.get(w, ())}):  # only leaders with a word in common can be like it
-                    other = leaders[i][1]
-                    common = len(mine & other)
-                    if common / len(mine | other) >= threshold or (common >= 3 and common / min(len(mine), len(other)) >= max(0.75, threshold + 0.15)):
-                        place = i
-                        break
+                if at is None or group != at:
+                    at, leaders, known, first_words, least_words, all_words = group, [], {}, {}, {}, {}
+                mine = frozenset(map(sys.intern, ws)) if ws is not None else frozenset()
+                place = known.get(mine) if mine else None  # those without words are like none
                 if place is None:
-                    place = len(leaders)
-                    leaders.append((k, mine))
-                    for w in mine:
-                        by_word.setdefault(w, []).append(place)
+                    n = len(mine)
+                    every = sorted(mine, key=lambda w: (often.get(w, 0), w))
+                    first, least = (every[: n - math.ceil(s * n - 1e-9) + 1] for s in (threshold, share))
+                    met = {i for index, ws in ((first_words, first), (least_words, every), (all_words, least)) for w in ws for i in index.get(w, ())}
+                    for i in sorted(met):
+                        other = leaders[i][1]
+                        common = len(mine & other)
+                        if common / (n + len(other) - common) >= threshold or (common >= 3 and common / min(n, len(other)) >= share):
+                            place = i
+                            break
+                    if place is None:
+                        place = len(leaders)
+                        leaders.append((k, mine))
+                        for index, ws in ((first_words, first), (least_words, least), (all_words, every)):
+                            for w in ws:
+                                index.setdefault(w, []).append(place)
+                    known[mine] = place
                 out.append((k, leaders[place][0]))
             yield pd.DataFrame(out, columns=schema.names)
 
